@@ -51,7 +51,7 @@ TRADE = {
     "exch": "exchange", "ix": "internet", "ixp": "internet", "communications": "communications", "communication": "communications",
     "comm": "communications", "comms": "communications", "data": "data", "dataservices": "data", "ds": "data", "services": "services", "service": "services",
     "svcs": "services", "svc": "services", "international": "international", "intl": "international", "int": "international",
-    "internat": "international", "broadband": "broadband", "brdbnd": "broadband", "bb": "broadband",
+    "internat": "international", "broadband": "broadband", "brdbnd": "broadband", "bb": "broadband", "broad": "broadband", "band": "broadband",
 }
 # fixed values: words that say nothing
 NOISE = {"the", "ms", "messrs", "autonomous"}

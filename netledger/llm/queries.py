@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netledger.llm.encoding import fit_model, garbled_texts
+from netledger.llm.leaks import RUN, leaked_passages
 from netledger.llm.names import link_names, spelling_pairs
+from netledger.llm.packing import CAPACITY, pack, token_pieces
 from netledger.session import table
 
 
@@ -22,5 +25,48 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_pairs(link_names(_names(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (p2_found,)}
-ORACLE: dict[str, str] = {}
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_pieces(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used beside the least number any packing needs, and the share of room left empty."""
+    slots = p7_packing(spark, sf_dir)
+    used = slots.agg(F.coalesce(F.max("container") + 1, F.lit(0)).alias("n_containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
+    return used.select(
+        "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / CAPACITY).alias("least_containers"),
+        F.round(1 - F.col("n_tokens") / (F.col("n_containers") * CAPACITY), 6).alias("unused_share"),
+    )
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where(F.col("longest_run") >= RUN).select("doc_id", "item_id").distinct()
+
+
+def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs that align well, edited copies included."""
+    return _leaks(spark, sf_dir)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return garbled_texts(docs, fit_model(docs)).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return garbled_texts(docs, fit_model(docs))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p7_packing, p7_fill, p8_found, p8_alignments, p9_found, p9_restored)}
+ORACLE = {
+    # words as five-word shingles would need; here whole windows of twelve words meet on equal text
+    "p8_found": """WITH w AS (SELECT doc_id AS id, 'd' AS k, list_filter(regexp_split_to_array(lower(regexp_replace(text, '\\p{Cf}+', '', 'g')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM documents
+  UNION ALL SELECT item_id, 'i', list_filter(regexp_split_to_array(lower(regexp_replace(text, '\\p{Cf}+', '', 'g')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') FROM benchmark),
+g AS (SELECT id, k, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i+11], ' '))) AS t FROM w WHERE len(ws) >= 12)
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.t = i.t AND d.k = 'd' AND i.k = 'i'""",
+}
