@@ -7,7 +7,7 @@ of lengths and equi-joins then read the same for both families.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,34 +63,29 @@ def asn_to_long(text) -> Column:
     return F.when(t.rlike(r"^\d+$"), t.try_cast("long")).when(t.rlike(r"^\d+[.]\d+$"), asdot)
 
 
-def _hextets(addr: Column) -> Column:
-    """32 hex digits of an IPv6 address in group notation."""
-    part = lambda n: F.filter(F.split(F.split_part(addr, F.lit("::"), F.lit(n)), ":"), lambda x: x != "")
-    left, right = part(1), F.when(F.contains(addr, F.lit("::")), part(2)).otherwise(F.array().cast("array<string>"))
-    fill = F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right))
-    groups = F.concat(left, F.array_repeat(F.lit("0"), fill), right)
-    return F.array_join(F.transform(groups, lambda x: F.lpad(x, 4, "0")), "")
+def with_prefix(df: DataFrame, prefix: str) -> DataFrame:
+    """Add ``fam, hi, lo, len`` of an ``addr/len`` column of either family; rows that are no prefix go.
 
-
-def split_prefix(prefix) -> Column:
-    """``addr/len`` of either family to struct ``(fam, hi, lo, len)``; null if malformed.
-
-    Host bits are kept; use :func:`mask_bits` to clear them.
+    Host bits are kept; use :func:`mask_bits` to clear them. Staged columns, so that each part is
+    computed once a row.
     """
-    p = _c(prefix)
-    addr, length = F.split_part(p, F.lit("/"), F.lit(1)), F.split_part(p, F.lit("/"), F.lit(2)).try_cast("int")
-    is6 = F.contains(addr, F.lit(":"))
-    hexed = _hextets(addr)
-    half = lambda start: F.conv(F.substring(hexed, start, 16), 16, -10).try_cast("long")
-    v6 = F.when(
-        (F.length(hexed) == 32) & addr.rlike("^[0-9A-Fa-f:]+$") & length.between(0, 128),
-        F.struct(F.lit(6).alias("fam"), half(1).alias("hi"), half(17).alias("lo"), length.alias("len")),
-    )
-    v4 = F.when(
-        ipv4_to_long(addr).isNotNull() & length.between(0, 32),
-        F.struct(F.lit(4).alias("fam"), F.shiftleft(ipv4_to_long(addr), 32).alias("hi"), F.lit(0).cast("long").alias("lo"), length.alias("len")),
+    part = lambda n: f"filter(split(split_part(_addr, '::', {n}), ':'), x -> x <> '')"
+    staged = df.withColumns({"_addr": F.split_part(F.col(prefix), F.lit("/"), F.lit(1)), "len": F.split_part(F.col(prefix), F.lit("/"), F.lit(2)).try_cast("int")})
+    staged = staged.withColumn("fam", F.expr("CASE WHEN contains(_addr, ':') THEN 6 ELSE 4 END"))
+    staged = staged.withColumns(
+        {
+            "_left": F.expr(f"CASE WHEN fam = 6 THEN {part(1)} ELSE split(_addr, '[.]') END"),
+            "_right": F.expr(f"CASE WHEN fam = 6 AND contains(_addr, '::') THEN {part(2)} ELSE CAST(array() AS array<string>) END"),
+        }
     )
-    return F.when(is6, v6).otherwise(v4)
+    v6 = "array_join(transform(concat(_left, array_repeat('0', greatest(0, 8 - size(_left) - size(_right))), _right), x -> lpad(x, 4, '0')), '')"
+    v4 = "rpad(array_join(transform(_left, x -> lpad(hex(try_cast(x AS int)), 2, '0')), ''), 32, '0')"
+    good4 = r"_addr rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$' AND forall(_left, x -> try_cast(x AS int) <= 255) AND len <= 32"
+    good6 = r"_addr rlike '^[0-9A-Fa-f:]+$' AND len <= 128"
+    staged = staged.withColumn("_hex", F.expr(f"CASE WHEN fam = 6 AND {good6} THEN {v6} WHEN fam = 4 AND {good4} THEN {v4} END"))
+    staged = staged.where((F.length("_hex") == 32) & (F.col("len") >= 0))
+    half = lambda start: F.expr(f"try_cast(conv(substr(_hex, {start}, 16), 16, -10) AS bigint)")
+    return staged.withColumns({"hi": half(1), "lo": half(17)}).drop("_addr", "_left", "_right", "_hex")
 
 
 def mask_bits(hi, lo, length) -> tuple[Column, Column]:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netledger.functions.ip import split_prefix
+from netledger.functions.ip import with_prefix
 from netledger.operators import intervals as iv
 from netledger.operators.cover import cover_join_any
 from netledger.operators.event_time import attributes_as_of, change_history
 from netledger.operators.skew import heavy_keys, per_key_profile
 from netledger.operators.snapshot_diff import snapshot_changes
-from netledger.session import micros, micros_text, table
+from netledger.session import cut, micros, micros_text, table
 from netledger.sources.roa_lines import parse_roa_lines
 
 COLLECTION_END = "2023-04-01 00:00:00"
@@ -56,9 +56,10 @@ def _validation_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
     vrp = table(spark, sf_dir, "vrp")
     roas = vrp.select("uri", F.concat_ws("/", "prefix_addr", F.col("prefix_len").cast("string")).alias("p"), F.col("prefix_len").alias("roa_len")).distinct()
-    roas = roas.select("uri", "roa_len", F.inline(F.array(split_prefix("p"))))
-    probes = scored.select("rec_id", "at_valid", "at_known", "rec_origin", F.inline(F.array(split_prefix("prefix"))))
+    roas = with_prefix(roas, "p").drop("p")
+    probes = with_prefix(scored.drop("written"), "prefix").drop("prefix")
     candidates = cover_join_any(probes, roas).select("rec_id", "at_valid", "at_known", "rec_origin", F.col("len").alias("rec_len"), "uri", "roa_len")
+    candidates = cut(candidates, "as-of-candidates")  # read twice: for hot keys and for the match
     histories = {
         "vrp_origin": change_history(vrp, "uri", day("date"), micros("known_at"), "origin", "vrp_origin"),
         "vrp_max_len": change_history(vrp, "uri", day("date"), micros("known_at"), "max_len", "vrp_max_len"),
@@ -160,10 +161,10 @@ cells AS (SELECT line_id, r, regexp_full_match(r, '{_FIELD}(,{_FIELD})*') AS quo
 named AS (SELECT line_id, quoted_well, len(c) AS n, c[1] AS uri, c[2] AS a, c[3] AS p, c[4] AS m, c[5] AS since, c[6] AS until,
     regexp_replace(c[2], '^[aA][sS]', '') AS num, split_part(c[3], '/', 1) AS addr, split_part(c[3], '/', 2) AS plen FROM cells),
 typed AS (SELECT *, CASE WHEN regexp_full_match(num, '[0-9]+') THEN TRY_CAST(num AS BIGINT)
-      WHEN regexp_full_match(num, '[0-9]+\.[0-9]+') AND TRY_CAST(split_part(num, '.', 1) AS BIGINT) <= 65535 AND TRY_CAST(split_part(num, '.', 2) AS BIGINT) <= 65535
+      WHEN regexp_full_match(num, '[0-9]+[.][0-9]+') AND TRY_CAST(split_part(num, '.', 1) AS BIGINT) <= 65535 AND TRY_CAST(split_part(num, '.', 2) AS BIGINT) <= 65535
       THEN TRY_CAST(split_part(num, '.', 1) AS BIGINT) * 65536 + TRY_CAST(split_part(num, '.', 2) AS BIGINT) END AS o,
     CASE WHEN contains(addr, ':') THEN 128 ELSE 32 END AS w, TRY_CAST(plen AS INT) AS l,
-    regexp_full_match(addr, '((0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])\.){{3}}(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])')
+    regexp_full_match(addr, '((0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])[.]){{3}}(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])')
       OR regexp_full_match(addr, '([0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}')
       OR (regexp_full_match(addr, '([0-9a-fA-F]{{1,4}}(:[0-9a-fA-F]{{1,4}})*)?::([0-9a-fA-F]{{1,4}}(:[0-9a-fA-F]{{1,4}})*)?')
         AND len(list_filter(string_split(addr, ':'), lambda x: x <> '')) <= 7) AS addr_well FROM named),
