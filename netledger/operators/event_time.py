@@ -140,34 +140,34 @@ def attributes_as_of(
 
     Result: ``payload`` columns of the event, then per attribute its value (cast to ``types``) and
     ``<attribute>_found``, which tells a null value from no version. Events with a null key or time
-    come out with nothing found. Names of payload columns must not be ``key, salt, kind, attribute,
-    valid_us, known_us, value``; callers rename. Repeated events stay repeated.
+    come out with nothing found. Payload columns may bear any names but those of the attributes.
+    Repeated events stay repeated; without events or histories the result is empty or finds nothing.
     """
     names = list(histories)
+    inner = [f"__p{i}" for i in range(len(payload))]
+    kinds = [dict(events.select(F.col(c).alias("c")).dtypes)["c"] for c in payload]
+    never = F.lit(-(2**62))
     ev = events.select(
         F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"),
         F.lit(1).alias("kind"),
         F.lit(None).cast("string").alias("attribute"),
-        F.coalesce(F.col(valid_us), F.lit(-(2**62))).alias("valid_us"),
-        F.when(F.col(key).isNull() | F.col(valid_us).isNull(), F.lit(-(2**62))).otherwise(F.coalesce(F.col(known_us), F.lit(-(2**62)))).alias("known_us"),
+        F.coalesce(F.col(valid_us), never).alias("valid_us"),
+        F.when(F.col(key).isNull() | F.col(valid_us).isNull(), never).otherwise(F.coalesce(F.col(known_us), never)).alias("known_us"),
         F.lit(None).cast("string").alias("value"),
-        *payload,
+        *[F.col(c).alias(i) for c, i in zip(payload, inner)],
     )
-    heavy = F.broadcast(heavy_hitters(ev, "key", share=hot_share).select(F.col("key").alias("_hot")))
-    ev = ev.join(heavy, F.col("key") == F.col("_hot"), "left").withColumn(
-        "salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*payload), F.lit(salts)).cast("int"))
-    ).drop("_hot")
+    heavy = F.broadcast(heavy_hitters(ev, "key", share=hot_share).select(F.col("key").alias("__hot")))  # bounded by the sketch
+    spread = F.pmod(F.xxhash64("valid_us", "known_us", *inner), F.lit(salts)).cast("int")
+    ev = ev.join(heavy, F.col("key") == F.col("__hot"), "left").withColumn("salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(spread)).drop("__hot")
     hist = None
     for h in histories.values():
         hist = h if hist is None else hist.unionByName(h)
-    hist = hist.join(heavy, F.col("key") == F.col("_hot"), "left").withColumn(
-        "salt", F.explode(F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    types_of = dict(events.select(*payload).dtypes)
-    hist = hist.select(
-        "key", "salt", F.lit(0).alias("kind"), "attribute", "valid_us", "known_us", "value", *[F.lit(None).cast(types_of[c]).alias(c) for c in payload]
-    )
-    both = hist.unionByName(ev)
-    out = ", ".join([f"`{c}` {types_of[c]}" for c in payload] + [f"`{a}` string, `{a}_found` boolean" for a in names])
-    matched = both.repartition("key", "salt").sortWithinPartitions("key", "salt", "kind").mapInArrow(lambda it: _match(it, names, payload), out)
-    return matched.select(*payload, *[x for a in names for x in (F.col(a).cast(types[a]).alias(a), F.col(f"{a}_found"))])
+    every = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
+    hist = hist.join(heavy, F.col("key") == F.col("__hot"), "left").withColumn("salt", F.explode(every))
+    empty = [F.lit(None).cast(t).alias(i) for i, t in zip(inner, kinds)]
+    hist = hist.select("key", "salt", F.lit(0).alias("kind"), "attribute", "valid_us", "known_us", "value", *empty)
+    out = ", ".join([f"{i} {t}" for i, t in zip(inner, kinds)] + [f"`{a}` string, `{a}_found` boolean" for a in names])
+    sorted_rows = hist.unionByName(ev).repartition("key", "salt").sortWithinPartitions("key", "salt", "kind")
+    matched = sorted_rows.mapInArrow(lambda it: _match(it, names, inner), out)
+    found = [x for a in names for x in (F.col(a).cast(types[a]).alias(a), F.col(f"{a}_found"))]
+    return matched.select(*[F.col(i).alias(c) for i, c in zip(inner, payload)], *found)

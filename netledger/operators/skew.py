@@ -28,12 +28,12 @@ def heavy_hitters(df: DataFrame, key: str, *, share: float = 0.01, weight_floor:
     if not 2 * 3.5 / SKETCH_ITEMS <= share <= 1:
         raise ValueError("share is outside what the sketch can tell apart")
     k = min(MAX_HEAVY, int(2 / share) + 1)
-    counted = df.select(F.col(key).alias("k")).agg(
-        F.expr(f"approx_top_k(k, {k}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("n")
+    counted = df.select(F.col(key).alias("__k")).agg(
+        F.expr(f"approx_top_k(__k, {k}, {SKETCH_ITEMS})").alias("__top"), F.count(F.lit(1)).alias("__n")
     )
-    rows = counted.select(F.explode("top").alias("t"), "n").select(F.col("t.item").alias(key), F.col("t.count").alias("est_rows"), "n")
-    error = F.col("n") * (3.5 / SKETCH_ITEMS)
-    return rows.where(F.col(key).isNotNull() & (F.col("est_rows") + error >= F.col("n") * share) & (F.col("est_rows") >= weight_floor)).select(key, "est_rows")
+    rows = counted.select(F.explode("__top").alias("__t"), "__n").select(F.col("__t.item").alias("__k"), F.col("__t.count").alias("__est"), "__n")
+    heavy = rows.where(F.col("__k").isNotNull() & (F.col("__est") + F.col("__n") * (3.5 / SKETCH_ITEMS) >= F.col("__n") * share) & (F.col("__est") >= weight_floor))
+    return heavy.select(F.col("__k").alias(key), F.col("__est").alias("est_rows"))
 
 
 def per_key_profile(
@@ -49,41 +49,37 @@ def per_key_profile(
 
     ``distinct`` maps an output column to the column whose non-null distinct values are counted.
     Heavy keys are marked by a broadcast join with the bounded heavy-hitter list and aggregated
-    by ``(key, salt)`` first, the salt being a hash of the counted value, so the salted distinct
-    counts add up exactly. Other keys take one ordinary hash aggregation. Repeated rows count;
-    an empty table gives no rows; extra columns are ignored.
+    by ``(key, salt, value)`` first, the salt being a hash of the counted value, so the distinct
+    values of a heavy key spread over all tasks and their counts add up exactly. Other keys take one
+    ordinary hash aggregation. Repeated rows count; an empty table gives no rows; extra columns are
+    ignored, whatever their names.
     """
     distinct = dict(distinct or {})
-    cols = [key, *dict.fromkeys(distinct.values())]
-    base = df.select(*[F.col(c) for c in dict.fromkeys(cols)]).where(F.col(key).isNotNull())
-    heavy = heavy_hitters(df, key, share=share).select(F.col(key).alias("_heavy_key"))
-    marked = base.join(F.broadcast(heavy), F.col(key) == F.col("_heavy_key"), "left").withColumn("_hot", F.col("_heavy_key").isNotNull()).drop("_heavy_key")
+    values = {c: f"__v{i}" for i, c in enumerate(dict.fromkeys(distinct.values()))}
+    base = df.select(F.col(key).alias("__key"), *[F.col(c).alias(v) for c, v in values.items()]).where(F.col("__key").isNotNull())
+    heavy = heavy_hitters(df, key, share=share).select(F.col(key).alias("__heavy"))
+    marked = base.join(F.broadcast(heavy), F.col("__key") == F.col("__heavy"), "left").withColumn("__hot", F.col("__heavy").isNotNull()).drop("__heavy")
 
     light = (
-        marked.where(~F.col("_hot"))
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias(count_name), *(F.countDistinct(c).alias(o) for o, c in distinct.items()))
+        marked.where(~F.col("__hot"))
+        .groupBy("__key")
+        .agg(F.count(F.lit(1)).alias("__rows"), *(F.countDistinct(values[c]).alias(f"__d{i}") for i, c in enumerate(distinct.values())))
     )
-    hot = marked.where("_hot")
-    parts = [hot.groupBy(key).agg(F.count(F.lit(1)).alias("v")).select(key, F.lit(count_name).alias("m"), "v")]
-    for out, c in distinct.items():
-        salted = (
-            hot.where(F.col(c).isNotNull())
-            .groupBy(key, F.pmod(F.xxhash64(c), F.lit(salts)).alias("_salt"), F.col(c).alias("_value"))
-            .agg(F.lit(1).alias("one"))
-        )
-        parts.append(salted.groupBy(key).agg(F.count(F.lit(1)).alias("v")).select(key, F.lit(out).alias("m"), "v"))
-    united = parts[0]
-    for p in parts[1:]:
-        united = united.unionByName(p)
-    wide = united.groupBy(key).agg(
-        *(F.coalesce(F.max(F.when(F.col("m") == m, F.col("v"))), F.lit(0).cast("long")).alias(m) for m in (count_name, *distinct))
-    )
-    return light.unionByName(wide)
+    hot = marked.where("__hot")
+    united = hot.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).withColumn("__m", F.lit("__rows"))
+    for i, c in enumerate(distinct.values()):
+        v = values[c]
+        salted = hot.where(F.col(v).isNotNull()).groupBy("__key", F.pmod(F.xxhash64(v), F.lit(salts)).alias("__salt"), v).agg(F.lit(1).alias("__one"))
+        united = united.unionByName(salted.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).withColumn("__m", F.lit(f"__d{i}")))
+    names = {"__rows": count_name} | {f"__d{i}": o for i, o in enumerate(distinct)}
+    pick = lambda m: F.coalesce(F.max(F.when(F.col("__m") == m, F.col("__n"))), F.lit(0).cast("long")).alias(m)
+    both = light.unionByName(united.groupBy("__key").agg(*map(pick, names)))
+    return both.select(F.col("__key").alias(key), *[F.col(m).alias(o) for m, o in names.items()])
 
 
 def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """Keys holding at least ``share`` of all rows, null-key rows included in the total: ``(key, n_rows)``."""
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    counts = per_key_profile(df, key, share=share / 2)
-    return counts.join(F.broadcast(total)).where(F.col("n_rows") >= F.col("_total") * share).select(key, "n_rows")
+    total = df.agg(F.count(F.lit(1)).alias("__total"))  # one row
+    counts = per_key_profile(df, key, share=share / 2, count_name="__rows")
+    heavy = counts.join(F.broadcast(total)).where(F.col("__rows") >= F.col("__total") * share)
+    return heavy.select(F.col(key), F.col("__rows").alias("n_rows"))

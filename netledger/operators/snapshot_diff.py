@@ -75,23 +75,22 @@ def snapshot_changes(
     base = df.where(F.col(snapshot).isNotNull() & F.col(source).isNotNull())
     ids = [F.xxhash64(*keyed).alias("k1"), F.xxhash64(F.lit(7919), *reversed(keyed)).alias("k2")]
 
-    dates = base.select(F.col(source).alias("src"), F.col(snapshot).alias("snap")).distinct()
-    by_date = Window.partitionBy("src").orderBy("snap")
-    numbered = dates.select("src", "snap", F.row_number().over(by_date).alias("ord"), F.count(F.lit(1)).over(Window.partitionBy("src")).cast("int").alias("last"))
+    src, snap = F.col(source).alias("__src"), F.col(snapshot).alias("__snap")
 
-    compact = base.select(
-        F.col(source).alias("src"), F.col(snapshot).alias("snap"), *ids, F.xxhash64(*marked).alias("row_hash"), (F.col(latest) if latest else F.lit(0)).alias("seen")
-    )
+    dates = base.select(src, snap).distinct()
+    by_date = Window.partitionBy("__src").orderBy("__snap")
+    numbered = dates.select("__src", "__snap", F.row_number().over(by_date).alias("ord"), F.count(F.lit(1)).over(Window.partitionBy("__src")).cast("int").alias("last"))
+
+    compact = base.select(src, snap, *ids, F.xxhash64(*marked).alias("row_hash"), (F.col(latest) if latest else F.lit(0)).cast("string").alias("seen"))
     # map-side combine drops repeated rows before the shuffle; the pick is the latest row
-    once = compact.groupBy("k1", "k2", "src", "snap").agg(F.max(F.struct(F.coalesce(F.col("seen").cast("string"), F.lit("")), "row_hash")).alias("pick"))
-    arrays = once.join(numbered, ["src", "snap"]).select("k1", "k2", "ord", "last", F.col("pick.row_hash").alias("row_hash"))
+    once = compact.groupBy("k1", "k2", "__src", "__snap").agg(F.max(F.struct(F.coalesce("seen", F.lit("")).alias("seen"), "row_hash")).alias("pick"))
+    arrays = once.join(numbered, ["__src", "__snap"]).select("k1", "k2", "ord", "last", F.col("pick.row_hash").alias("row_hash"))
     diff = arrays.repartition("k1").mapInArrow(_differences, "k1 long, k2 long, at_ord long, held_ord long, change_kind string")
 
-    full = base.select(F.col(source).alias("src"), F.col(snapshot).alias("snap"), *ids, *[F.col(c).alias(f"key_{i}") for i, c in enumerate(key)]).join(
-        numbered.select("src", "snap", F.col("ord").cast("long").alias("held_ord")), ["src", "snap"]
-    )
-    named = diff.join(full, ["k1", "k2", "held_ord"]).groupBy("k1", "k2", "held_ord", "change_kind", "src", "at_ord").agg(
-        *[F.first(f"key_{i}").alias(c) for i, c in enumerate(key)]
+    keys = [F.col(c).alias(f"key_{i}") for i, c in enumerate(key)]
+    full = base.select(src, snap, *ids, *keys).join(numbered.select("__src", "__snap", F.col("ord").cast("long").alias("held_ord")), ["__src", "__snap"])
+    named = diff.join(full, ["k1", "k2", "held_ord"]).groupBy("k1", "k2", "held_ord", "change_kind", "__src", "at_ord").agg(
+        *[F.first(f"key_{i}").alias(f"key_{i}") for i in range(len(key))]
     )
-    when = numbered.select("src", F.col("snap").alias(snapshot), F.col("ord").cast("long").alias("at_ord"))
-    return named.join(when, ["src", "at_ord"]).select(snapshot, *key, "change_kind")
+    when = numbered.select("__src", "__snap", F.col("ord").cast("long").alias("at_ord"))
+    return named.join(when, ["__src", "at_ord"]).select(F.col("__snap").alias(snapshot), *[F.col(f"key_{i}").alias(c) for i, c in enumerate(key)], "change_kind")
