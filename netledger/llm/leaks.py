@@ -30,6 +30,7 @@ RUN = 12
 MAX_GRAMS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _FACTOR = 0x9E3779B97F4A7C15
+_PACK = 1 << 24
 
 
 def word_hashes(text) -> Column:
@@ -113,14 +114,14 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
         step = np.where(same, MATCH, MISMATCH)
         down = np.zeros(n + 1, dtype=np.int64)
         # score and equal words travel together: score in the high part
-        packed = score.astype(np.int64) * 65536 + hits
-        diag = packed[:-1] + step.astype(np.int64) * 65536 + same
-        up = packed[1:] + GAP * 65536
+        packed = score.astype(np.int64) * _PACK + hits
+        diag = packed[:-1] + step.astype(np.int64) * _PACK + same
+        up = packed[1:] + GAP * _PACK
         down[1:] = np.maximum(np.maximum(diag, up), 0)
-        carried = np.maximum.accumulate(down + slope * 65536) - slope * 65536
+        carried = np.maximum.accumulate(down + slope * _PACK) - slope * _PACK
         packed = np.maximum(carried, 0)
-        packed[packed < 65536] = 0
-        score, hits = (packed >> 16).astype(np.int32), (packed & 65535).astype(np.int32)
+        packed[packed < _PACK] = 0
+        score, hits = (packed // _PACK).astype(np.int32), (packed % _PACK).astype(np.int32)
         run[1:] = np.where(same, run[:-1] + 1, 0)
         top = int(score.argmax())
         if score[top] > best:
