@@ -2,9 +2,10 @@
 
 1. Texts become word hashes in the JVM. Every five-word gram of an item is looked up in the
    corpus; its document frequency says how rare it is.
-2. From each window of ``run`` words of an item the rarest gram is its seed, so a document that
-   holds ``run`` consecutive words of an item always holds a seed of it, while grams that are
-   common everywhere bring no candidates unless a window has nothing rarer.
+2. From each window of ``run`` words of an item that may occur whole the rarest gram is its seed, so
+   a document that holds ``run`` consecutive words of an item always holds a seed of it; besides,
+   every rare gram is a seed, for edited copies. Grams that are common everywhere bring no
+   candidates unless a window has nothing rarer.
 3. Each candidate (document, item) is scored by Smith-Waterman alignment of the item against the
    stretch of the document around its seeds, which also finds edited and partial copies.
 
@@ -26,6 +27,8 @@ from netledger.session import cut
 
 GRAM = 5
 RUN = 12
+#: A gram in no more documents than this, by share or by number, is rare.
+RARE_SHARE, RARE_LEAST = 0.0005, 20
 #: Largest number of item grams shipped to every task (16 MB).
 MAX_GRAMS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -77,68 +80,89 @@ def _grams(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iter
         yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(gram), pa.array(pos.astype(np.int32))], names=["id", "gram", "pos"])
 
 
-def rare_seeds(df_by_gram: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the rarest gram of each window of ``width`` grams (ties: the first); shorter lists give one."""
+def rare_seeds(df_by_gram: np.ndarray, width: int, rare: int) -> np.ndarray:
+    """Positions of the seeds among an item's grams, given how many documents hold each.
+
+    Where a document may hold a whole window of ``width`` grams, that is where all of them occur, the
+    window's rarest gram is a seed (ties: the first). Elsewhere every gram that occurs in at most
+    ``rare`` documents is. Grams that occur nowhere find nothing. Lists shorter than a window are one.
+    """
     n = len(df_by_gram)
-    if n <= width:
-        return np.array([int(np.argmin(df_by_gram))]) if n else np.zeros(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(df_by_gram, width)
-    return np.unique(views.argmin(axis=1) + np.arange(n - width + 1))
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    few = np.flatnonzero((df_by_gram > 0) & (df_by_gram <= rare))
+    views = np.lib.stride_tricks.sliding_window_view(df_by_gram, min(n, width))
+    whole = np.flatnonzero(views.min(axis=1) > 0)
+    return np.union1d(few, views[whole].argmin(axis=1) + whole).astype(np.int64)
 
 
-def _seeds(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _seeds(batches: Iterator[pa.RecordBatch], width: int, rare: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, grams, poss = [], [], []
         for item, rows in zip(b.column("item_id").to_pylist(), b.column("grams").to_pylist()):
             rows = sorted((r["pos"], r["gram"], r["df"]) for r in rows)
-            for k in rare_seeds(np.array([r[2] for r in rows]), width):
+            for k in rare_seeds(np.array([r[2] for r in rows]), width, rare):
                 ids.append(item)
                 poss.append(rows[k][0])
                 grams.append(rows[k][1])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.int64()), pa.array(poss, pa.int32())], names=["item_id", "gram", "item_pos"])
 
 
-def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
-    """Local alignment of two word sequences: score, longest run of equal words, aligned item words, end in ``doc``.
+def align_many(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 16) -> list[tuple[int, int, int]]:
+    """Local alignment of pairs of word sequences: score, longest run of equal words, equal words on the path.
 
-    Rows of the score table are numpy vectors; gaps along a row are a running maximum.
+    Pairs of like size are laid side by side; each step advances all of them by one word of the item.
+    Gaps along a document are a running maximum. Score and equal words travel in one number.
     """
-    n = len(doc)
-    score = np.zeros(n + 1, dtype=np.int32)
-    run = np.zeros(n + 1, dtype=np.int32)
-    hits = np.zeros(n + 1, dtype=np.int32)  # equal words on the path, packed beside the score
-    slope = np.arange(n + 1, dtype=np.int64) * -GAP
-    best = longest = best_hits = end = 0
-    for w in item:
-        same = doc == w
-        step = np.where(same, MATCH, MISMATCH)
-        down = np.zeros(n + 1, dtype=np.int64)
-        # score and equal words travel together: score in the high part
-        packed = score.astype(np.int64) * _PACK + hits
-        diag = packed[:-1] + step.astype(np.int64) * _PACK + same
-        up = packed[1:] + GAP * _PACK
-        down[1:] = np.maximum(np.maximum(diag, up), 0)
-        carried = np.maximum.accumulate(down + slope * _PACK) - slope * _PACK
-        packed = np.maximum(carried, 0)
-        packed[packed < _PACK] = 0
-        score, hits = (packed // _PACK).astype(np.int32), (packed % _PACK).astype(np.int32)
-        run[1:] = np.where(same, run[:-1] + 1, 0)
-        top = int(score.argmax())
-        if score[top] > best:
-            best, best_hits, end = int(score[top]), int(hits[top]), top
-        longest = max(longest, int(run.max(initial=0)))
-    return best, longest, best_hits, end
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    at = 0
+    while at < len(order):
+        group, width = [], 1
+        while at < len(order) and (not group or (len(group) + 1) * max(width, len(pairs[order[at]][1])) <= cells):
+            group.append(order[at])
+            width = max(width, len(pairs[order[at]][1]))
+            at += 1
+        height = max(len(pairs[i][0]) for i in group)
+        item = np.zeros((len(group), height), dtype=np.int64)
+        doc = np.zeros((len(group), width), dtype=np.int64)
+        in_item, in_doc = np.zeros(item.shape, dtype=bool), np.zeros(doc.shape, dtype=bool)
+        for k, i in enumerate(group):
+            a, b = pairs[i]
+            item[k, : len(a)], in_item[k, : len(a)] = a, True
+            doc[k, : len(b)], in_doc[k, : len(b)] = b, True
+        slope = np.arange(width + 1, dtype=np.int64) * (-GAP * _PACK)
+        state = np.zeros((len(group), width + 1), dtype=np.int64)
+        run = np.zeros((len(group), width + 1), dtype=np.int32)
+        best = np.zeros(len(group), dtype=np.int64)
+        longest = np.zeros(len(group), dtype=np.int64)
+        rows = np.arange(len(group))
+        for j in range(height):
+            same = (doc == item[:, j : j + 1]) & in_doc & in_item[:, j : j + 1]
+            down = np.zeros_like(state)
+            np.maximum(state[:, :-1] + np.where(same, MATCH * _PACK + 1, MISMATCH * _PACK), state[:, 1:] + GAP * _PACK, out=down[:, 1:])
+            np.maximum(down, 0, out=down)
+            state = np.maximum.accumulate(down + slope, axis=1) - slope
+            state[state < _PACK] = 0
+            run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+            top = state.argmax(axis=1)
+            best = np.maximum(best, state[rows, top])
+            longest = np.maximum(longest, run.max(axis=1))
+        for k, i in enumerate(group):
+            out[i] = (int(best[k] // _PACK), int(longest[k]), int(best[k] % _PACK))
+    return out
+
+
+def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
+    return align_many([(item, doc)])[0]
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
         items, docs = b.column("item_words"), b.column("stretch")
-        for i in range(b.num_rows):
-            item = items[i].values.to_numpy(zero_copy_only=False)
-            doc = docs[i].values.to_numpy(zero_copy_only=False)
-            out.append((*align(item, doc)[:3], len(item)))
-        cols = list(zip(*out)) if out else [[]] * 4
+        pairs = [(items[i].values.to_numpy(zero_copy_only=False), docs[i].values.to_numpy(zero_copy_only=False)) for i in range(b.num_rows)]
+        found = align_many(pairs)
+        cols = list(zip(*[(*f, len(p[0])) for f, p in zip(found, pairs)])) if found else [[]] * 4
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), *(pa.array(c, pa.int32()) for c in cols)], names=["doc_id", "item_id", "score", "longest_run", "same_words", "item_words"])
 
 
@@ -167,7 +191,8 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     listed = item_grams.join(df, "gram", "left").groupBy(F.col("id").alias("item_id")).agg(
         F.collect_list(F.struct("pos", "gram", F.coalesce("df", F.lit(0)).alias("df"))).alias("grams")
     )
-    seeds = listed.mapInArrow(lambda it: _seeds(it, run - GRAM + 1), "item_id long, gram long, item_pos int")
+    rare = max(RARE_LEAST, int(RARE_SHARE * docs.count()))
+    seeds = listed.mapInArrow(lambda it: _seeds(it, run - GRAM + 1, rare), "item_id long, gram long, item_pos int")
     met = hits.join(seeds, "gram").groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     sizes = item_rows.select("item_id", F.col("words").alias("item_words"))
     texts = words.select(F.col("id").alias("doc_id"), "words")
@@ -175,5 +200,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     begin = F.greatest(F.lit(1), F.col("lo") + 1 - F.size("item_words"))
     stretch = F.slice("words", begin, F.col("hi") + GRAM + F.size("item_words") - begin + 1)
     out = "doc_id long, item_id long, score int, longest_run int, same_words int, item_words int"
-    scored = near.select("doc_id", "item_id", "item_words", stretch.alias("stretch")).repartition("doc_id", "item_id").mapInArrow(_aligned, out)
+    # pairs are few bytes and much work: a set number of parts, lest they be merged into a handful
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = near.select("doc_id", "item_id", "item_words", stretch.alias("stretch")).repartition(parts, "doc_id", "item_id").mapInArrow(_aligned, out)
     return scored.where(F.col("score") >= min_score)
