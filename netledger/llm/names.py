@@ -33,7 +33,7 @@ Q = 4
 #: Tokens in at least this share of all names (and in GENERIC_LEAST names) are generic.
 GENERIC_SHARE, GENERIC_LEAST = 0.03, 40
 #: Share of a gram set that must recur in the other; sets of one run-together word need less.
-SHARED, SHARED_ONE = 0.5, 0.34
+SHARED, SHARED_ONE = 0.25, 0.25
 
 # fixed values: legal forms and their usual long forms
 LEGAL = {
@@ -45,11 +45,11 @@ LEGAL = {
 TRADE = {
     "university": "university", "uni": "university", "univ": "university", "fibre": "fibre", "fiber": "fibre", "fbr": "fibre",
     "technologies": "technologies", "technology": "technologies", "tech": "technologies", "techn": "technologies", "telecom": "telecom",
-    "telecoms": "telecom", "telekom": "telecom", "tel": "telecom", "telco": "telecom", "telecommunications": "telecom", "systems": "systems",
+    "telecoms": "telecom", "telekom": "telecom", "tel": "telecom", "telco": "telecom", "tlcm": "telecom", "telecommunications": "telecom", "systems": "systems",
     "system": "systems", "sys": "systems", "networks": "networks", "network": "networks", "net": "networks", "netw": "networks", "nets": "networks",
-    "nwks": "networks", "nw": "networks", "hosting": "hosting", "host": "hosting", "hstg": "hosting", "internet": "internet", "inet": "internet", "exchange": "exchange",
+    "nwks": "networks", "nw": "networks", "networking": "networks", "hosting": "hosting", "host": "hosting", "hstg": "hosting", "internet": "internet", "inet": "internet", "exchange": "exchange",
     "exch": "exchange", "ix": "internet", "ixp": "internet", "communications": "communications", "communication": "communications",
-    "comm": "communications", "comms": "communications", "data": "data", "dataservices": "data", "ds": "data", "services": "services", "service": "services",
+    "comm": "communications", "comms": "communications", "cmns": "communications", "data": "data", "dataservices": "data", "ds": "data", "services": "services", "service": "services",
     "svcs": "services", "svc": "services", "international": "international", "intl": "international", "int": "international",
     "internat": "international", "broadband": "broadband", "brdbnd": "broadband", "bb": "broadband", "broad": "broadband", "band": "broadband",
 }
@@ -142,11 +142,12 @@ def parse(name: str, generics: dict[str, str]) -> tuple[list[str], list[str], li
             legal.append(meaning)
         else:
             trade.append((t, meaning))
-    if len(rare) < 2:  # a short form of a trade word may be the head of a rare word
-        short = [(t, m) for t, m in trade if t != m and len(t) <= 4 and m.startswith(t)]
-        if short and len(trade) > 1:
-            rare.append(short[0][0])
-            trade.remove(short[0])
+    if len(rare) < 2:  # what merely resembles a trade word, or shortens one, may be a rare word after all
+        fuzzy = [x for x in trade if x[0] not in generics]
+        like = fuzzy or [x for x in trade if x[0] != x[1] and len(x[0]) <= 4 and x[1].startswith(x[0])]
+        if like and (len(trade) > 1 or (rare and len(rare[0]) <= (10 if fuzzy else 7))):
+            rare.append(like[0][0])
+            trade.remove(like[0])
     meanings = sorted({m for _, m in trade})
     if len(meanings) > 1:
         meanings = [m for m in meanings if m != "services"]
@@ -154,11 +155,12 @@ def parse(name: str, generics: dict[str, str]) -> tuple[list[str], list[str], li
 
 
 def grams(rare: list[str]) -> list[str]:
-    """Padded q-grams of each rare token, as a set."""
+    """Padded q-grams of each rare token and its letters in order of the alphabet, which swaps leave alone; a set."""
     out = set()
     for t in rare:
         padded = f"^{t}$"
         out.update(padded[i : i + Q] for i in range(max(1, len(padded) - Q + 1)))
+        out.add("~" + "".join(sorted(t)))
     return sorted(out)
 
 
@@ -180,7 +182,8 @@ def _same(a: str, b: str) -> float:
 def soft_similarity(a: list[str], b: list[str], weight=lambda t: 1.0) -> float:
     """Weighted share of rare tokens that find a like token; at most one may be cut short.
 
-    0.85 or more is a sure link, 0.5 or more an abbreviation, else no link.
+    0.85 or more is a sure link, 0.5 or more an abbreviation (0.1 better if all else is equal), else
+    no link.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -195,7 +198,7 @@ def soft_similarity(a: list[str], b: list[str], weight=lambda t: 1.0) -> float:
                 return 0.9
             for k in range(2, len(u)):
                 if x == u[:k] + v:
-                    best = max(best, 0.6)
+                    best = max(best, 0.7)
                 elif len(v) >= 4 and abs(len(x) - k - len(v)) <= 1 and best < 0.5 and edits(x, u[:k] + v, 1) <= 1:
                     best = 0.5
         return best
@@ -218,7 +221,10 @@ def soft_similarity(a: list[str], b: list[str], weight=lambda t: 1.0) -> float:
         return 0.0
     if rest and any(len(y) > 3 for y in rest):
         return 0.0
-    return min(least, 0.84) if cut_short else gained / total if total else 0.0
+    if cut_short:
+        others = [_same(x, y) for x in a for y in b]
+        return least + 0.1 * (1.0 in others)
+    return gained / total if total else 0.0
 
 
 def compatible(trade_a: list[str], legal_a: list[str], trade_b: list[str], legal_b: list[str]) -> bool:
@@ -306,13 +312,18 @@ def link_names(names: DataFrame) -> DataFrame:
     nodes = keyed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("rare", "trade", "legal", "grams"))).where(F.size("rare") > 0)
     nodes = cut(nodes, "name-node-table")
 
-    posted = nodes.select("node", F.size("grams").alias("n"), F.size("rare").alias("words"), F.explode("grams").alias("g"))
+    # words of either kind as bits: a hash may join two words, which only lets a pair through to the check
+    bits = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(62)).cast("int"))))
+    posted = nodes.select("node", F.size("grams").alias("n"), F.size("rare").alias("words"), bits("trade").alias("tr"), bits("legal").alias("le"), F.explode("grams").alias("g"))
     df = posted.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     ranked = posted.join(df, "g").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "g")))
     need = F.greatest(F.least(F.lit(2), F.col("n")), F.ceil(F.when(F.col("words") == 1, F.lit(SHARED_ONE)).otherwise(F.lit(SHARED)) * F.col("n")).cast("int"))
-    probes = ranked.withColumn("need", need).where(F.col("rank") <= F.col("n") - F.col("need") + 1).select(F.col("node").alias("a"), "g", F.col("n").alias("na"), "need")
-    index = posted.select(F.col("node").alias("b"), "g", F.col("n").alias("nb"))
-    met = probes.join(index, "g").where((F.col("a") != F.col("b")) & ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a"))) ))
+    probes = ranked.withColumn("need", need).where(F.col("rank") <= F.col("n") - F.col("need") + 1).select(F.col("node").alias("a"), "g", F.col("n").alias("na"), "need", F.col("tr").alias("tra"), F.col("le").alias("lea"))
+    index = posted.select(F.col("node").alias("b"), "g", F.col("n").alias("nb"), F.col("tr").alias("trb"), F.col("le").alias("leb"))
+    smaller = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
+    both = F.col("lea").bitwiseAND(F.col("leb"))
+    agree = ((F.col("tra") == 0) | (F.col("trb") == 0) | (F.col("tra").bitwiseAND(F.col("trb")) != 0)) & ((both == F.col("lea")) | (both == F.col("leb")))
+    met = probes.join(index, "g").where(smaller & agree)
     pairs = met.select("a", "b", "need").distinct()
     sets = nodes.select(F.col("node"), "rare", "trade", "legal", "grams")
     left = sets.toDF("a", "rare_a", "trade_a", "legal_a", "grams_a")
@@ -321,8 +332,6 @@ def link_names(names: DataFrame) -> DataFrame:
     scored = full.select("a", "b", "rare_a", "trade_a", "legal_a", "rare_b", "trade_b", "legal_b").mapInArrow(
         lambda it: _verified(it, total), "a long, b long, score double"
     )
-    # the same rare tokens with other generic words need no join: they meet on their text
-    alike = nodes.select("node", F.array_join("rare", " ").alias("text"), "trade", "legal", F.size("rare").alias("words"))
     scored = cut(scored, "name-links")
 
     sure = scored.where(F.col("score") >= 0.85).select("a", "b")
