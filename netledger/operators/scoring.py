@@ -32,24 +32,37 @@ def kept(s0, s1) -> Column:
     return (a * b <= 0) & (F.greatest(a, b) > 0)
 
 
-def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """``threshold, precision, recall, f1`` at every distinct score.
+def pr_curve(df: DataFrame, label: str, score: str, cells: int = 1024) -> DataFrame:
+    """``threshold, precision, recall, f1`` at every distinct score, with ``tp, k, pos, p, n``.
 
-    Counts per distinct score are summed first, so the running totals are over thresholds and not
-    over rows. Rows with a null score or label are left out; no positive label gives recall null.
+    ``tp`` of the ``k`` rows at or above the threshold are positive, of ``pos`` in all; ``p`` of the ``n``
+    rows at it are. Counts per distinct score are summed first; running totals go within ``cells`` equal
+    ranges of scores, offset by the totals of the ranges above, so no task orders all scores. Rows with
+    a null score or label are left out; without a positive label recall is null.
     """
-    steps = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
+    steps = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n")
     )
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("k"), F.sum("p").over(Window.partitionBy(F.lit(0))).alias("pos"))
+    ends = steps.agg(F.min("threshold").alias("_lo"), F.max("threshold").alias("_hi"))  # one row
+    place = F.floor(F.coalesce(F.try_divide(F.col("threshold") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * (cells - 1))
+    placed = steps.join(F.broadcast(ends)).withColumn("_cell", place).drop("_lo", "_hi")
+    sums = placed.groupBy("_cell").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # one row a cell
+    above = Window.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_cell", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"), F.sum("_p").over(Window.partitionBy(F.lit(0))).alias("pos"))
+    down = Window.partitionBy("_cell").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.withColumns({"tp": F.sum("p").over(down), "k": F.sum("n").over(down)}).join(F.broadcast(base), "_cell")
+    run = run.withColumns({"tp": F.col("tp") + F.col("_p0"), "k": F.col("k") + F.col("_n0")})
     precision, recall = F.col("tp") / F.col("k"), F.try_divide(F.col("tp"), F.col("pos"))
-    return run.select("threshold", precision.alias("precision"), recall.alias("recall"), F.try_divide(2 * F.col("tp"), F.col("k") + F.col("pos")).alias("f1"))
+    f1 = F.try_divide(2 * F.col("tp"), F.col("k") + F.col("pos"))
+    return run.select("threshold", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "tp", "k", "pos", "p", "n")
 
 
 def auc_pr(curve: DataFrame) -> DataFrame:
-    """Area under the curve by trapezoids, from recall 0 at precision 1."""
-    order = Window.orderBy(F.desc("threshold"))
-    prev_r, prev_p = F.coalesce(F.lag("recall").over(order), F.lit(0.0)), F.coalesce(F.lag("precision").over(order), F.lit(1.0))
-    areas = curve.withColumn("area", (F.col("recall") - prev_r) * (F.col("precision") + prev_p) / 2)
-    return areas.agg(F.sum("area").alias("auc_pr"))
+    """Area under a :func:`pr_curve` by trapezoids, from recall 0 at precision 1.
+
+    The point before a threshold is its totals less its own counts, so the area is a plain sum.
+    """
+    before_tp, before_k = F.col("tp") - F.col("p"), F.col("k") - F.col("n")
+    before = F.coalesce(F.try_divide(before_tp, before_k), F.lit(1.0))
+    area = F.try_divide(F.col("p"), F.col("pos")) * (F.col("precision") + before) / 2
+    return curve.agg(F.sum(area).alias("auc_pr"))
