@@ -19,6 +19,12 @@ def feature_names() -> list[str]:
     return [f"{m}_{w}" for m in METRICS for w in WINDOWS] + [f"{m}_{s}" for m in METRICS for s in ("min", "max", "mean", "std")]
 
 
+def trimmed_names(windows: int) -> list[str]:
+    """Names of the first ``windows`` windows of each metric and of all statistics."""
+    kept = {f"{m}_{w}" for m in METRICS for w in WINDOWS[windows:]}
+    return [n for n in feature_names() if n not in kept]
+
+
 def month_bitmaps(df: DataFrame, keys: list[str], day: str) -> DataFrame:
     """``keys, month, bits, bit_text``: bit i of ``bits`` is day i + 1 of the month; text has day 1 rightmost.
 

@@ -27,3 +27,18 @@ def nearest_snapshot(days: DataFrame, snapshots: DataFrame, day: str = "date", s
     placed = both.select("day", "n", back.alias("back"), ahead.alias("ahead")).where(F.col("day").isNotNull())
     near = F.when(F.col("ahead").isNull() | (F.col("n") - int_day("back") <= int_day("ahead") - F.col("n")), F.col("back")).otherwise(F.col("ahead"))
     return placed.select(F.col("day").alias(day), near.alias(snapshot)).where(F.col(snapshot).isNotNull())
+
+
+def substitute_days(days: DataFrame, gaps: DataFrame, keys: list[str], day: str = "date") -> DataFrame:
+    """Add ``use_date``: the day whose file stands in for a missing one.
+
+    ``gaps`` has ``keys`` and dates ``gap_from, gap_to``: days from ``gap_from`` up to but without
+    ``gap_to`` use the file of ``gap_to``; other days use their own. Gaps are spelled out by day, so
+    the lookup is an equi-join; of overlapping gaps the nearest end counts.
+    """
+    each = gaps.where(F.col("gap_to") > F.col("gap_from")).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.explode(F.sequence("gap_from", F.date_sub("gap_to", 1))).alias("_day"), "gap_to"
+    )
+    one = each.groupBy(*[f"_{k}" for k in keys], "_day").agg(F.min("gap_to").alias("_to"))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(day) == F.col("_day")]
+    return days.join(one, on, "left").select(*days.columns, F.coalesce("_to", F.col(day)).alias("use_date"))

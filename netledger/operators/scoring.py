@@ -16,6 +16,16 @@ def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
+def rejection_loss(label, s0, s1, cost: float) -> Column:
+    """Mean of both heads' losses at one row: each head's own share of the cost, the rest from the other head."""
+    t, a, b = F.col(label), F.col(s0), F.col(s1)
+    keep = lambda z: (1 - t) * softplus(-z) + t * softplus(z)
+    take = lambda z: t * softplus(-z) + (1 - t) * softplus(z)
+    first = cost * keep(a) + (1 - cost) * keep(-b)
+    second = cost * take(b) + (1 - cost) * take(-a)
+    return (first + second) / 2
+
+
 def y_true(validation) -> Column:
     c = F.col(validation) if isinstance(validation, str) else validation
     return F.when(c == "valid", 1).when(c == "invalid", 0).otherwise(-1)

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netledger.functions.ip import asn_to_long, bit_text, common_prefix_len, mask4, num_addresses, prefix_text
-from netledger.operators.activity import month_bitmaps, run_metrics, metric_stats
-from netledger.operators.asof import int_day, nearest_snapshot
+from netledger.functions.ip import asn_to_long, bit_text, common_prefix_len, ipv4_to_long, long_to_ipv4, mask4, num_addresses, prefix_text
+from netledger.operators.activity import metric_stats, month_bitmaps, run_metrics, wide_features
+from netledger.operators.asof import int_day, nearest_snapshot, substitute_days
 from netledger.operators.blocks import cidr_blocks, covered_addresses, number_ranges
 from netledger.operators.cover import cover_join
 from netledger.operators.registry import attribute_rir, validate_origin
-from netledger.operators.scoring import kept, softmax1, softplus, y_pred, y_true
+from netledger.operators.scoring import kept, rejection_loss, softplus, y_pred, y_true
 from netledger.plans import composites as comp
 from netledger.plans import inputs as inp
 from netledger.session import table
+from netledger.sources import delegated
+from netledger.sources.rpsl import route_objects
+from netledger.sources.transfers import parse_transfers
 
 SNAPSHOT = 20230331
 
@@ -355,4 +358,66 @@ def s_events_daily(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").groupBy(F.date_format(F.col("ts"), "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if n[:2] in ("p_", "f_", "j_", "a_", "w_", "u_", "l_", "s_") and callable(f) and n != "f_"} | {"q15_feature_stats": q15_feature_stats}
+def q14_bitvector(s: SparkSession, d: str) -> DataFrame:
+    """Monthly bitmaps of single-origin announcements."""
+    b = table(s, d, "bgp_update").where(F.col("nlri").isNotNull() & F.col("origin").try_cast("long").isNotNull())
+    return month_bitmaps(b, ["nlri", "origin"], "date").select("month", "nlri", F.col("origin").cast("long").alias("origin"), "bit_text")
+
+
+def q15_bgp_feature(s: SparkSession, d: str) -> DataFrame:
+    """The 312 features of each row."""
+    return wide_features(run_metrics(inp.presence(s, d), "feat_id", "updays"), "feat_id")
+
+
+def q20_nro_expand(s: SparkSession, d: str) -> DataFrame:
+    """Delegations as lines of statistics, parsed and expanded to prefixes and numbers."""
+    b, a = inp.derived(s, d, "nro_block"), inp.derived(s, d, "nro_asn")
+    v4 = b.select("date", "rir", F.lit("ipv4").alias("kind"), long_to_ipv4("start_ip").alias("start"), F.col("num_ip").alias("n"))
+    asn = a.select("date", "rir", F.lit("asn").alias("kind"), F.col("asn_start").cast("string").alias("start"), F.col("num_asn").alias("n"))
+    lines = v4.unionByName(asn).withColumns({"cc": F.lit(None).cast("string"), "registered": F.lit(None).cast("string"), "status": F.lit("allocated")})
+    nets = delegated.ipv4_prefixes(lines).select("date", "rir", F.lit("ipv4").alias("kind"), F.concat_ws("/", long_to_ipv4("net"), F.col("len").cast("string")).alias("resource"))
+    return nets.unionByName(delegated.numbers(lines).select("date", "rir", F.lit("asn").alias("kind"), F.col("asn").cast("string").alias("resource")))
+
+
+def q21_transfers_flatten(s: SparkSession, d: str) -> DataFrame:
+    """Transfers as nested logs, flattened again."""
+    t = table(s, d, "transfer").where(~F.col("prefix_addr").contains(":"))
+    start = ipv4_to_long("prefix_addr")
+    ends = F.array(F.struct(F.col("prefix_addr").alias("start_address"), long_to_ipv4(start + num_addresses("prefix_len") - 1).alias("end_address")))
+    org = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("name")))
+    log = F.struct(
+        F.col("transfer_type").alias("type"), F.date_format("date", "yyyy-MM-dd'T'00:00:00'Z'").alias("transfer_date"), F.col("from_rir").alias("source_rir"),
+        F.col("to_rir").alias("recipient_rir"), org("from_isp").alias("source_organization"), org("to_isp").alias("recipient_organization"), F.array(F.struct(ends.alias("transfer_set"))).alias("ip4nets"),
+    )
+    return parse_transfers(t.select(F.to_json(log).alias("log")), "log")
+
+
+def s_rpsl_routes(s: SparkSession, d: str) -> DataFrame:
+    """Route objects as registry text, parsed again."""
+    t = table(s, d, "irr")
+    key = F.when(F.col("prefix").contains(":"), "route6:  ").otherwise("route:   ")
+    dated = F.when(F.col("changed").isNotNull(), F.concat(F.lit("changed: x@example "), F.col("changed").cast("string"), F.lit("\nchanged: x@example 19900101\n"))).otherwise("")
+    value = F.concat(F.lit("% from a dump\n"), key, "prefix", F.lit("\ndescr:   first\n+ more\norigin:  AS"), F.col("origin").cast("string"), F.lit(" # now\n"), dated, F.lit("source:  "), "source")
+    rows = route_objects(t.select(inp.day_int("date").alias("date"), "source", value.alias("value")))
+    return rows.select("date", "source", F.concat_ws("/", "prefix_addr", F.col("prefix_len").cast("string")).alias("prefix"), "origin", "changed").distinct()
+
+
+def f_rejection_loss(s: SparkSession, d: str) -> DataFrame:
+    r = comp.labelled(s, d)
+    return r.select("idx", F.round(rejection_loss("label", "score0", "score1", 0.6), 6).alias("loss"))
+
+
+def j_substitute_days(s: SparkSession, d: str) -> DataFrame:
+    """For each announced day and registry the snapshot that serves it: its own, or the next one."""
+    snaps = table(s, d, "irr").select("source", "date").distinct()
+    before = F.lag("date").over(Window.partitionBy("source").orderBy("date"))
+    gaps = snaps.select("source", F.date_add(before, 1).alias("gap_from"), F.col("date").alias("gap_to")).where("gap_from is not null and gap_from < gap_to")
+    reach = snaps.groupBy("source").agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    days = table(s, d, "bgp_update").select("date").where("date is not null").distinct()
+    wanted = reach.join(days, (F.col("date") >= F.col("a")) & (F.col("date") <= F.col("b"))).select("source", "date")
+    out = substitute_days(wanted, gaps, ["source"])
+    return out.select("source", inp.day_int("date").alias("date"), inp.day_int("use_date").alias("use_date"))
+
+
+_EXTRA = (q14_bitvector, q15_bgp_feature, q15_feature_stats, q20_nro_expand, q21_transfers_flatten)
+QUERIES = {n: f for n, f in list(globals().items()) if n[:2] in ("p_", "f_", "j_", "a_", "w_", "u_", "l_", "s_") and callable(f) and n != "f_"} | {f.__name__: f for f in _EXTRA}

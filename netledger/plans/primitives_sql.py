@@ -114,6 +114,19 @@ SELECT date, source, CAST(sum(n) AS BIGINT) AS num_ip FROM (SELECT date, source,
 FROM bgp_update WHERE nlri IS NOT NULL AND origin IS NOT NULL GROUP BY 1, 2, 3""",
     "a_run_metrics": with_inputs("offs", body=_RUNS + " SELECT * FROM metrics"),
     "q15_feature_stats": with_inputs("offs", body=_RUNS + f" SELECT feat_id, {_STATS} FROM metrics GROUP BY 1"),
+    "q14_bitvector": f"""SELECT CAST(strftime(date, '%Y%m') AS INT) AS month, nlri, CAST(origin AS BIGINT) AS origin, lpad(bin({_BITMAP}), CAST(day(last_day(min(date))) AS INT), '0') AS bit_text
+FROM bgp_update WHERE nlri IS NOT NULL AND TRY_CAST(origin AS BIGINT) IS NOT NULL GROUP BY nlri, origin, CAST(strftime(date, '%Y%m') AS INT)""",
+    "q20_nro_expand": "WITH RECURSIVE " + with_inputs("nro_block", "nro_asn", body=", " + _BLOCK_CIDR.removeprefix("RECURSIVE ")).removeprefix("WITH ") + """
+SELECT date, rir, 'ipv4' AS kind, CAST(net // 16777216 AS VARCHAR) || '.' || CAST(net // 65536 % 256 AS VARCHAR) || '.' || CAST(net // 256 % 256 AS VARCHAR) || '.' || CAST(net % 256 AS VARCHAR) || '/' || CAST(len AS VARCHAR) AS resource FROM cidr
+UNION ALL SELECT date, rir, 'asn', CAST(unnest(range(asn_start, asn_start + num_asn)) AS VARCHAR) FROM nro_asn""",
+    "q21_transfers_flatten": f"""SELECT {_DAY} AS date, prefix_addr, prefix_len, CASE from_rir WHEN 'RIPE NCC' THEN 'RIPE' ELSE from_rir END AS from_rir, from_isp,
+  CASE to_rir WHEN 'RIPE NCC' THEN 'RIPE' ELSE to_rir END AS to_rir, to_isp, transfer_type FROM transfer WHERE NOT contains(prefix_addr, ':')""",
+    "s_rpsl_routes": f"SELECT DISTINCT {_DAY} AS date, source, prefix, origin, changed FROM irr",
+    "f_rejection_loss": with_inputs("scored4", body="""SELECT idx, round((0.6 * ((1 - t) * ln(1 + exp(-score0)) + t * ln(1 + exp(score0))) + 0.4 * ((1 - t) * ln(1 + exp(score1)) + t * ln(1 + exp(-score1)))
+  + 0.6 * (t * ln(1 + exp(-score1)) + (1 - t) * ln(1 + exp(score1))) + 0.4 * (t * ln(1 + exp(score0)) + (1 - t) * ln(1 + exp(-score0)))) / 2, 6) AS loss
+FROM (SELECT *, CASE validation WHEN 'valid' THEN 1 ELSE 0 END AS t FROM scored4 WHERE validation IN ('valid', 'invalid') AND score0 IS NOT NULL AND score1 IS NOT NULL)"""),
+    "j_substitute_days": f"""SELECT r.source, {_DAY.replace("date", "d.date")} AS date, CAST(strftime((SELECT min(s.date) FROM irr s WHERE s.source = r.source AND s.date >= d.date), '%Y%m%d') AS INT) AS use_date
+FROM (SELECT source, min(date) AS a, max(date) AS b FROM irr GROUP BY 1) r JOIN (SELECT DISTINCT date FROM bgp_update WHERE date IS NOT NULL) d ON d.date BETWEEN r.a AND r.b""",
     "a_percent": with_inputs("irr4", "vrp4", "bgp4", body=Q1 + " SELECT date, source, round(CASE WHEN covered = 0 THEN 0.0 ELSE 100.0 * valid / covered END, 6) AS valid_pct FROM q1"),
     "w_active_cdf": "SELECT source, latest_date, irr, irr_total FROM (" + COMPOSITE["q12_active_cdf"] + ")",
     "w_age_cdf": "SELECT source, age, cdf FROM (" + COMPOSITE["q13_irr_age_cdf"] + ") WHERE validation = 'all'",

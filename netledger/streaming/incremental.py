@@ -24,6 +24,13 @@ def due_days(inputs: list[DataFrame], done: DataFrame, day: str = "date") -> Dat
     return joined.where((F.col("day") <= F.col("top")) & (F.col("start").isNull() | (F.col("day") > F.col("start")))).select(F.col("day").alias(day))
 
 
+def due_months(available: DataFrame, done: DataFrame, day: str = "date", month: str = "month") -> DataFrame:
+    """Whole months of the available ``yyyymmdd`` days, but the last, that are not done."""
+    have = available.select(F.expr(f"{day} div 100").cast("int").alias(month)).distinct()
+    last = have.agg(F.max(month).alias("_last"))
+    return have.join(F.broadcast(last)).where(F.col(month) < F.col("_last")).select(month).join(done.select(month).distinct(), month, "left_anti")
+
+
 def missing_days(available: DataFrame, done: DataFrame, day: str = "date") -> DataFrame:
     """Days available and not done, whatever their order."""
     return available.select(day).distinct().join(done.select(day).distinct(), day, "left_anti")

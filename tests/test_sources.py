@@ -124,3 +124,23 @@ def test_sinks_and_ingestion(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "days")).select("origin").distinct().count() == 1
     landing.write_report(rows.select("prefix", "origin"), str(tmp_path / "report"), ["prefix"])
     assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "report")).collect()] == [("10.1.0.0/16", "5"), ("fd00::/8", "6")]
+
+
+def test_text_rows(spark):
+    from netledger.sources import rows
+
+    one = lambda f, *lines: [tuple(r) for r in f(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
+    dumps = ("v1|BGP4MP|1677628800|A|1.1.1.1|9|10.0.0.0/8|9 64500|IGP", "BGP4MP|03/02/23  10:00:00|A|1.1.1.1|9|10.0.0.0/8|9 1.5|IGP|x", "v|BGP4MP|1|A|p|9|10.0.0.0/8|9 {1,2}|IGP", "short|x", None)
+    assert one(rows.dump_lines, *dumps) == [("v1", 20230301, "10.0.0.0", 8, 64500), ("verbose", 20230302, "10.0.0.0", 8, 65541)]
+    assert one(rows.active_rows, "10.0.0.0\t8\t5\tvalid\t20230301", "20230301\tRIPE\t10.0.0.0\t8\t5\tinvalid", "a\tb") == [
+        (20230301, "RADB", "10.0.0.0", 8, 5, "valid"), (20230301, "RIPE", "10.0.0.0", 8, 5, "invalid"),
+    ]
+    got = one(rows.overlap_rows, "20230301\t10.0.0.0/8\tsame\ta,8,8,5|b,9,9,6\tc,5,x", "20230301\tRIPE\t10.0.0.0/8\tpartial\ta\tb")
+    assert got == [(20230301, s, "10.0.0.0/8", [["a", "8", "8"], ["b", "9", "9"]], [["c", "5"]]) for s in ("RADB", "ALL-IRR")]
+
+
+def test_due_months(spark):
+    from netledger.streaming.incremental import due_months
+
+    days = spark.createDataFrame([(20230105,), (20230207,), (20230301,)], "date int")
+    assert [r.month for r in due_months(days, spark.createDataFrame([(202301,)], "month int")).collect()] == [202302]
