@@ -314,16 +314,20 @@ def link_names(names: DataFrame) -> DataFrame:
 
     # words of either kind as bits: a hash may join two words, which only lets a pair through to the check
     bits = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(62)).cast("int"))))
-    posted = nodes.select("node", F.size("grams").alias("n"), F.size("rare").alias("words"), bits("trade").alias("tr"), bits("legal").alias("le"), F.explode("grams").alias("g"))
+    posted = nodes.select("node", F.size("grams").alias("n"), F.size("rare").alias("words"), bits("trade").alias("tr"), bits("legal").alias("le"), bits(F.split(F.array_join("rare", ""), "")).alias("ch"), F.explode("grams").alias("g"))
     df = posted.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     ranked = posted.join(df, "g").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "g")))
     need = F.greatest(F.least(F.lit(2), F.col("n")), F.ceil(F.when(F.col("words") == 1, F.lit(SHARED_ONE)).otherwise(F.lit(SHARED)) * F.col("n")).cast("int"))
-    probes = ranked.withColumn("need", need).where(F.col("rank") <= F.col("n") - F.col("need") + 1).select(F.col("node").alias("a"), "g", F.col("n").alias("na"), "need", F.col("tr").alias("tra"), F.col("le").alias("lea"))
-    index = posted.select(F.col("node").alias("b"), "g", F.col("n").alias("nb"), F.col("tr").alias("trb"), F.col("le").alias("leb"))
+    probes = ranked.withColumn("need", need).where(F.col("rank") <= F.col("n") - F.col("need") + 1).select(F.col("node").alias("a"), "g", F.col("n").alias("na"), "need", F.col("tr").alias("tra"), F.col("le").alias("lea"), F.col("ch").alias("cha"))
+    index = posted.select(F.col("node").alias("b"), "g", F.col("n").alias("nb"), F.col("tr").alias("trb"), F.col("le").alias("leb"), F.col("ch").alias("chb"))
     smaller = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
     both = F.col("lea").bitwiseAND(F.col("leb"))
     agree = ((F.col("tra") == 0) | (F.col("trb") == 0) | (F.col("tra").bitwiseAND(F.col("trb")) != 0)) & ((both == F.col("lea")) | (both == F.col("leb")))
-    met = probes.join(index, "g").where(smaller & agree)
+    # an edit brings in one foreign letter at most, an abbreviation none; of like sizes neither has many more
+    slips = F.when(F.col("na") >= 16, 3).otherwise(2)
+    foreign = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    letters = (foreign("cha", "chb") <= slips) & ((F.col("nb") > F.col("na") + 3) | (foreign("chb", "cha") <= slips + 1))
+    met = probes.join(index, "g").where(smaller & agree & letters)
     pairs = met.select("a", "b", "need").distinct()
     sets = nodes.select(F.col("node"), "rare", "trade", "legal", "grams")
     left = sets.toDF("a", "rare_a", "trade_a", "legal_a", "grams_a")
