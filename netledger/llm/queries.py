@@ -35,7 +35,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = slots.agg(F.coalesce(F.max("container") + 1, F.lit(0)).alias("n_containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
     return used.select(
         "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / CAPACITY).alias("least_containers"),
-        F.round(1 - F.col("n_tokens") / (F.col("n_containers") * CAPACITY), 6).alias("unused_share"),
+        F.round(1 - F.try_divide(F.col("n_tokens"), F.col("n_containers") * CAPACITY), 6).alias("unused_share"),
     )
 
 
