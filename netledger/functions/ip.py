@@ -16,12 +16,17 @@ def _c(x) -> Column:
 
 
 def ipv4_to_long(addr) -> Column:
-    """Dotted quad to 0..2^32-1; null if it is not four decimal octets."""
-    octets = F.split(_c(addr), "[.]")
-    value = F.aggregate(
-        F.transform(octets, lambda x: x.try_cast("long")), F.lit(0).cast("long"), lambda acc, x: acc * 256 + x
-    )
-    good = _c(addr).rlike(r"^\d{1,3}([.]\d{1,3}){3}$") & F.forall(octets, lambda x: x.try_cast("long") <= 255)
+    """Dotted quad to 0..2^32-1; null if it is not four decimal octets.
+
+    Without lambdas, so that it compiles and its common parts are computed once a row.
+    """
+    c = _c(addr)
+    octets = [F.split_part(c, F.lit("."), F.lit(i)).try_cast("long") for i in (1, 2, 3, 4)]
+    value, good = octets[0], c.rlike(r"^[0-9]{1,3}([.][0-9]{1,3}){3}$")
+    for o in octets[1:]:
+        value = value * 256 + o
+    for o in octets:
+        good &= o <= 255
     return F.when(good, value)
 
 

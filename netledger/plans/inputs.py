@@ -57,7 +57,10 @@ def bgp(spark: SparkSession, d: str) -> DataFrame:
     net, length = _split("nlri")
     t = table(spark, d, "bgp_update").where(F.col("nlri").isNotNull() & ~F.col("nlri").contains(":") & F.col("origin").isNotNull())
     parts = F.transform(F.split(F.regexp_replace("origin", "[{}]", ""), ","), lambda x: F.trim(x).try_cast("long"))
-    rows = t.select(day_int("date").alias("date"), net, length, F.array_sort(F.array_distinct(F.filter(parts, lambda x: x.isNotNull()))).alias("origins"), "vp")
+    several = F.array_sort(F.array_distinct(F.filter(parts, lambda x: x.isNotNull())))
+    single = F.col("origin").try_cast("long")  # most are one number: no need to take a set apart
+    origins = F.when(single.isNotNull(), F.array(single)).otherwise(several)
+    rows = t.select(day_int("date").alias("date"), net, length, origins.alias("origins"), "vp")
     return rows.where((F.size("origins") > 0) & F.col("net").isNotNull()).groupBy("date", "net", "len", "origins").agg(F.countDistinct("vp").alias("total_cnt"))
 
 
