@@ -1,17 +1,24 @@
 """Passages of held-out test items inside a training corpus.
 
-1. Texts become word hashes in the JVM. Every five-word gram of an item is looked up in the
-   corpus; its document frequency says how rare it is.
+``leaked_passages`` lists every pair whose Smith-Waterman score reaches a bound, edited copies included:
+
+1. An upper bound of the score of each document against every item is kept word by word: two for a
+   word the item holds, one off for each word left out and one more where two neighbours of the
+   alignment are not as near in the item. It never lies under the score, so no pair is lost, and
+   takes a few byte operations a word and item.
+2. Pairs whose bound reaches the wanted score are aligned, first by score alone on the stretch where
+   it may be reached, then whole.
+
+``shared_runs`` lists the pairs that hold ``run`` consecutive words, without that pass:
+
+1. Every five-word gram of an item is looked up in the corpus; its document frequency says how rare it is.
 2. From each window of ``run`` words of an item that may occur whole the rarest gram is its seed, so
-   a document that holds ``run`` consecutive words of an item always holds a seed of it; besides,
-   every rare gram is a seed, for edited copies. Grams that are common everywhere bring no
-   candidates unless a window has nothing rarer.
-3. Each candidate (document, item) is scored by Smith-Waterman alignment of the item against the
-   stretch of the document around its seeds, which also finds edited and partial copies.
-
-The item side grows with the number of test items alone. It is joined, not collected; only the
-hashes of item grams go to the scan as a sorted array, whose size is checked against
-``MAX_GRAMS``; beyond that the scan joins by shuffle.
+   a document that holds ``run`` consecutive words of an item always holds a seed of it.
+3. Each candidate (document, item) is aligned on the stretch of the document around its seeds.
+
+The item side grows with the number of test items alone. Its words (``leaked_passages``, in slices of
+``MAX_GRAMS`` words) or gram hashes (``shared_runs``, as a sorted array checked against ``MAX_GRAMS``;
+beyond that the scan joins by shuffle) go to the scan.
 """
 
 from __future__ import annotations
@@ -27,9 +34,9 @@ from netledger.session import cut
 
 GRAM = 5
 RUN = 12
-#: A gram in no more documents than this, by share or by number, is rare.
-RARE_SHARE, RARE_LEAST = 0.0005, 20
-#: Largest number of item grams shipped to every task (16 MB).
+#: Items whose bounds are kept side by side, and documents.
+ITEM_BLOCK, DOC_BLOCK = 256, 128
+#: Largest number of item grams or words shipped to every task at once (16 MB).
 MAX_GRAMS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _FACTOR = 0x9E3779B97F4A7C15
@@ -166,13 +173,173 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), *(pa.array(c, pa.int32()) for c in cols)], names=["doc_id", "item_id", "score", "longest_run", "same_words", "item_words"])
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", run: int = RUN, min_score: int = 2 * RUN) -> DataFrame:
-    """``(doc_id, item_id, score, longest_run, same_words, item_words)`` for pairs scoring ``min_score``.
+def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place of each value in the sorted table; the table's length for values it lacks."""
+    if not len(table):
+        return np.zeros(values.shape, np.int64)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return np.where(table[at] == values, at, len(table))
+
+
+class ScoreBound:
+    """Upper bounds of the alignment score of documents with the items of a block.
+
+    An alignment takes each word of its stretch as equal (``MATCH``, if the item holds the word) or
+    not (``GAP``). Where equal words are one or two apart in the document but never that near in the
+    item, at least one word of the item is left out besides.
+    """
+
+    def __init__(self, items: list[np.ndarray], least: int):
+        self.least = least
+        self.kind, self.never = (np.int8, -100) if least <= 100 else (np.int32, -(1 << 28))
+        self.vocabulary = np.unique(np.concatenate(items))
+        n = len(self.vocabulary)
+        self.items = [np.searchsorted(self.vocabulary, it) for it in items]
+        self.gain = np.full((n + 1, len(items)), self.never, self.kind)
+        for k, ids in enumerate(self.items):
+            self.gain[ids, k] = MATCH
+        self.near = []
+        for apart in (1, 2):
+            keys = [(ids[:-g] * (n + 1) + ids[g:], k) for k, ids in enumerate(self.items) for g in range(1, apart + 1) if len(ids) > g]
+            known, at = np.unique(np.concatenate([x for x, _ in keys] or [np.zeros(0, np.int64)]), return_inverse=True)
+            cost = np.full((len(known) + 1, len(items)), GAP * apart, self.kind)
+            cost[at, np.repeat([k for _, k in keys], [len(x) for x, _ in keys]).astype(np.int64)] = GAP * (apart - 1)
+            self.near.append((known, cost))
+
+    def reached(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+        """(document, item, first and last place where the bound is met) of the pairs that may score ``least``."""
+        n, out = len(self.vocabulary), []
+        order = sorted((i for i in range(len(docs)) if len(docs[i])), key=lambda i: -len(docs[i]))
+        for start in range(0, len(order), DOC_BLOCK):
+            block = order[start : start + DOC_BLOCK]
+            lengths = np.array([len(docs[i]) for i in block])
+            ids = np.full((lengths[0], len(block)), n)
+            for c, i in enumerate(block):
+                ids[: len(docs[i]), c] = _find(self.vocabulary, docs[i])
+            pairs = []
+            for apart, (known, _) in enumerate(self.near, 1):
+                at = np.full(ids.shape, len(known))
+                at[apart:] = _find(known, ids[:-apart] * (n + 1) + ids[apart:]) if len(ids) > apart else at[apart:]
+                pairs.append(at)
+            active = np.searchsorted(-lengths, -np.arange(len(ids)), side="left")  # longer than the place
+            shape = (len(block), self.gain.shape[1])
+            last, before = np.full(shape, self.never, self.kind), np.full(shape, self.never, self.kind)
+            apart = np.zeros(shape, self.kind)
+            first, final = np.full(shape, -1, np.int32), np.full(shape, -1, np.int32)
+            for p in range(len(ids)):
+                a = active[p]
+                last, before, apart = last[:a], before[:a], apart[:a]
+                now = np.take(self.near[0][1], pairs[0][p, :a], axis=0)
+                now += last
+                np.maximum(now, apart, out=now)
+                two = np.take(self.near[1][1], pairs[1][p, :a], axis=0)
+                two += before
+                np.maximum(now, two, out=now)
+                np.maximum(now, 0, out=now)
+                now += np.take(self.gain, ids[p, :a], axis=0)
+                if now.max() >= self.least:
+                    i, k = np.nonzero(now >= self.least)
+                    first[i, k] = np.where(first[i, k] < 0, p, first[i, k])
+                    final[i, k] = p
+                    np.minimum(now, self.least, out=now)
+                before += GAP  # the word before the last is left out from now on
+                np.maximum(apart, before, out=apart)
+                np.maximum(apart, 0, out=apart)
+                apart += GAP
+                last, before = now, last
+            i, k = np.nonzero(first >= 0)
+            out += zip((block[x] for x in i), k.tolist(), first[i, k].tolist(), final[i, k].tolist())
+        return out
+
+
+def best_scores(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 15) -> np.ndarray:
+    """Scores of ``align_many`` alone, in short numbers; the words of either side are not negative."""
+    best = np.zeros(len(pairs), np.int64)
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]).bit_length(), len(pairs[i][0]) // 8, len(pairs[i][1])))
+    at = 0
+    while at < len(order):
+        group, width, height = [], 1, 1
+        while at < len(order) and (not group or (len(group) + 1) * max(width, len(pairs[order[at]][1])) <= cells):
+            group.append(order[at])
+            height, width = max(height, len(pairs[order[at]][0])), max(width, len(pairs[order[at]][1]))
+            at += 1
+        kind = np.int16 if MATCH * height + width < 32_000 else np.int32
+        item, doc = np.full((len(group), height), -1, np.int32), np.full((len(group), width), -2, np.int32)
+        for k, i in enumerate(group):
+            item[k, : len(pairs[i][0])], doc[k, : len(pairs[i][1])] = pairs[i]
+        slope = np.arange(width + 1).astype(kind) * kind(-GAP)
+        state = np.zeros((len(group), width + 1), kind)
+        top = np.zeros_like(state)
+        for j in range(height):
+            step = (doc == item[:, j : j + 1]).astype(kind)
+            step *= kind(MATCH - MISMATCH)
+            step += kind(MISMATCH)
+            step += state[:, :-1]
+            state += kind(GAP)
+            np.maximum(state[:, 1:], step, out=state[:, 1:])
+            np.maximum(state, 0, out=state)
+            state += slope
+            np.maximum.accumulate(state, axis=1, out=state)
+            state -= slope
+            np.maximum(top, state, out=top)
+        best[group] = top.max(axis=1)
+    return best
+
+
+def _leaked(batches: Iterator[pa.RecordBatch], ids: list[int], items: list[np.ndarray], least: int) -> Iterator[pa.RecordBatch]:
+    bounds = [(k, ScoreBound(items[k : k + ITEM_BLOCK], least)) for k in range(0, len(items), ITEM_BLOCK)]
+    for b in batches:
+        words = b.column("words")
+        ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        docs = np.split(words.flatten().to_numpy(zero_copy_only=False), ends) if b.num_rows else []
+        rows = []
+        for k, bound in bounds:
+            met = bound.reached(docs)
+            n = len(bound.vocabulary)
+            # a score above 0 takes at most three words of the document for each of the item
+            near = [(bound.items[i], _find(bound.vocabulary, docs[d][max(0, lo - 3 * len(bound.items[i])) : hi + 1])) for d, i, lo, hi in met]
+            near = [(i, np.where(w == n, -3, w)) for i, w in near]
+            rows += [(met[x][0], k + met[x][1]) for x in np.flatnonzero(best_scores(near) >= least)]
+        found = align_many([(items[i], docs[d]) for d, i in rows])
+        cols = list(zip(*[(*f, len(items[i])) for f, (_, i) in zip(found, rows)])) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays(
+            [b.column("id").take(pa.array([d for d, _ in rows], pa.int64())), pa.array([ids[i] for _, i in rows], pa.int64()), *(pa.array(c, pa.int32()) for c in cols)],
+            names=["doc_id", "item_id", "score", "longest_run", "same_words", "item_words"],
+        )
+
+
+def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", min_score: int = 2 * RUN) -> DataFrame:
+    """``(doc_id, item_id, score, longest_run, same_words, item_words)`` of all pairs scoring ``min_score`` (above 0).
 
     ``longest_run`` is the greatest number of consecutive words both hold; every pair that shares
-    ``run`` consecutive words is found as long as ``min_score <= MATCH * run``. Null and empty texts
-    and texts shorter than a gram match nothing. Items shorter than ``run`` words take their rarest
-    gram as seed. Repeated ids are treated as one text each and give one row per distinct pair of rows.
+    ``min_score / MATCH`` of them is found. Null and empty texts
+    and texts too short for the score match nothing. Each row is a text of its own, repeated ids too.
+    """
+    if min_score < 1:
+        raise ValueError("min_score must be above 0: pairs without a word in common score 0")
+    enough = F.size("words") * MATCH >= min_score
+    item_rows = cut(items.select(F.col(item_id).cast("long").alias("item_id"), word_hashes(text).alias("words")).where(enough), "item-words")
+    words = docs.select(F.col(doc_id).cast("long").alias("id"), word_hashes(text).alias("words")).where(enough)
+    total = item_rows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    slices = max(1, -(-total // MAX_GRAMS))
+    out = "doc_id long, item_id long, score int, longest_run int, same_words int, item_words int"
+    parts = []
+    for s in range(slices):
+        rows = item_rows.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(slices)) == s).toArrow()
+        ids = rows.column("item_id").to_pylist()
+        texts = [np.array(w, dtype=np.int64) for w in rows.column("words").to_pylist()]
+        parts.append(words.mapInArrow(lambda it, ids=ids, texts=texts: _leaked(it, ids, texts, min_score), out))
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    return scored
+
+
+def shared_runs(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", run: int = RUN) -> DataFrame:
+    """``(doc_id, item_id)`` and the alignment around their seeds, of pairs that share ``run`` consecutive words.
+
+    Null and empty texts and texts shorter than a gram match nothing. Repeated ids are treated as one
+    text each and give one row per distinct pair of rows.
     """
     item_rows = items.select(F.col(item_id).cast("long").alias("item_id"), word_hashes(text).alias("words")).where(F.size("words") >= GRAM)
     item_rows = cut(item_rows, "item-words")
@@ -191,8 +358,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     listed = item_grams.join(df, "gram", "left").groupBy(F.col("id").alias("item_id")).agg(
         F.collect_list(F.struct("pos", "gram", F.coalesce("df", F.lit(0)).alias("df"))).alias("grams")
     )
-    rare = max(RARE_LEAST, int(RARE_SHARE * docs.count()))
-    seeds = listed.mapInArrow(lambda it: _seeds(it, run - GRAM + 1, rare), "item_id long, gram long, item_pos int")
+    seeds = listed.mapInArrow(lambda it: _seeds(it, run - GRAM + 1, 0), "item_id long, gram long, item_pos int")
     met = hits.join(seeds, "gram").groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     sizes = item_rows.select("item_id", F.col("words").alias("item_words"))
     texts = words.select(F.col("id").alias("doc_id"), "words")
@@ -203,4 +369,4 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     # pairs are few bytes and much work: a set number of parts, lest they be merged into a handful
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scored = near.select("doc_id", "item_id", "item_words", stretch.alias("stretch")).repartition(parts, "doc_id", "item_id").mapInArrow(_aligned, out)
-    return scored.where(F.col("score") >= min_score)
+    return scored.where(F.col("longest_run") >= run)

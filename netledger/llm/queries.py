@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netledger.llm.encoding import fit_model, garbled_texts
-from netledger.llm.leaks import RUN, leaked_passages
+from netledger.llm.leaks import leaked_passages, shared_runs
 from netledger.llm.names import link_names, spelling_pairs
 from netledger.llm.packing import CAPACITY, pack, token_pieces
 from netledger.session import table
@@ -39,17 +39,13 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).where(F.col("longest_run") >= RUN).select("doc_id", "item_id").distinct()
+    return shared_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id").distinct()
 
 
 def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs that align well, edited copies included."""
-    return _leaks(spark, sf_dir)
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
