@@ -1,9 +1,9 @@
 """Spellings of organisation names that mean the same organisation.
 
 1. Names are folded (accents, case, punctuation, camel case) into tokens. Tokens that occur in a
-   large share of the names, or are known legal forms and trade words, are generic: their weight,
-   the logarithm of the inverse frequency, is near nothing, and they only serve to contradict a
-   match. What remains, the rare tokens, carries the weight.
+   large share of the names, beside words of more than one organisation, or are known legal forms
+   and trade words, are generic: they only serve to contradict a match. What remains, the rare
+   tokens, decides. Names of generic words alone are linked where they fold to the same words.
 2. Candidates come from a set-similarity join on the padded q-grams of the rare tokens, with a
    prefix filter: a set of n grams that must share k with another shares one of its n - k + 1
    rarest, so only those are looked up.
@@ -55,6 +55,7 @@ TRADE = {
 }
 # fixed values: words that say nothing
 NOISE = {"the", "ms", "messrs", "autonomous"}
+LISTED = frozenset(TRADE) | frozenset(LEGAL) | NOISE
 _FOLD = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "ı": "i"})
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
 _MARK = re.compile(r"^(?:AS|as|As)[-_ ](?=\S)|[-_ ](?:AS|as|As)$")
@@ -255,6 +256,38 @@ def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([sorted(set(tokens(n))) for n in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["toks"])
 
 
+def _contexts(batches: Iterator[pa.RecordBatch], top: dict[str, str | None]) -> Iterator[pa.RecordBatch]:
+    """Frequent tokens of each name that stand beside a word unlike their most frequent partner."""
+    for b in batches:
+        out = []
+        for toks in b.column("toks").to_pylist():
+            words = [t for t in toks if t not in LISTED]
+            for t in top.keys() & set(toks):
+                others = [w for w in words if w != t]
+                if others and not any(_same(w, top[t]) for w in others):
+                    out.append(t)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["t"])
+
+
+def generic_words(toks: DataFrame, total: int) -> list[str]:
+    """Tokens in ``GENERIC_SHARE`` of the names, those of the organisation that uses them most not counted.
+
+    A word of an organisation's own stands beside the same other word, however that is spelled, or
+    alone; a trade word stands beside many. ``toks`` has the distinct tokens of each name.
+    """
+    one = toks.select(F.explode("toks").alias("t"), "toks")
+    counts = {r.t: r["count"] for r in one.groupBy("t").count().where(F.col("count") >= GENERIC_LEAST).where(F.col("count") >= GENERIC_SHARE * total).collect()}
+    counts = {t: k for t, k in counts.items() if t not in LISTED}
+    if not counts:
+        return []
+    beside = one.where(F.col("t").isin(list(counts))).select("t", F.explode("toks").alias("p")).where((F.col("p") != F.col("t")) & ~F.col("p").isin(sorted(LISTED)))
+    # ties: the greater word, so that the result is the same every time
+    best = beside.groupBy("t", "p").count().groupBy("t").agg(F.max(F.struct("count", "p")).alias("best"))
+    top = {r.t: r.best.p for r in best.collect()}
+    rest = {r.t: r["count"] for r in toks.mapInArrow(lambda it: _contexts(it, top), "t string").groupBy("t").count().collect()}
+    return [t for t, k in counts.items() if rest.get(t, 0) >= max(GENERIC_LEAST, GENERIC_SHARE * (total - k + rest.get(t, 0)))]
+
+
 def _verified(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
@@ -302,8 +335,8 @@ def link_names(names: DataFrame) -> DataFrame:
     base = names.select(F.col("name").cast("string").alias("name")).where(F.col("name").isNotNull()).distinct()
     base = cut(base, "names")
     total = base.count()
-    toks = base.mapInArrow(_tokenized, "toks array<string>").select(F.explode("toks").alias("t")).groupBy("t").count()
-    frequent = [r.t for r in toks.where(F.col("count") >= max(GENERIC_LEAST, GENERIC_SHARE * total)).collect()]
+    toks = cut(base.mapInArrow(_tokenized, "toks array<string>"), "name-tokens")
+    frequent = generic_words(toks, total)
     generics = {t: t for t in frequent if len(t) > 2} | TRADE | LEGAL
 
     parsed = base.mapInArrow(lambda it: _parsed(it, generics), _NODE)
@@ -355,8 +388,10 @@ def link_names(names: DataFrame) -> DataFrame:
     best = best.withColumn("rivals", F.count(F.lit(1)).over(top)).where(F.col("rivals") == 1).select(F.col("comp_x").alias("a"), F.col("comp_y").alias("b"))
     final = components(comp.select(F.col("comp").alias("id")).distinct(), best, "name-short")
     org = comp.join(final.toDF("comp", "org"), "comp").select(F.col("id").alias("node"), "org")
-    named = keyed.select("name", "node").join(org, "node", "left")
-    return named.select("name", F.coalesce("org", F.xxhash64(F.lit("alone"), "name")).alias("org"))
+    # generic words alone: what folds to the same words is one; without any word a name stays alone
+    generic = F.when(F.size("trade") + F.size("legal") > 0, F.xxhash64(F.lit("generic"), "node"))
+    named = keyed.select("name", "node", generic.alias("generic")).join(org, "node", "left")
+    return named.select("name", F.coalesce("org", "generic", F.xxhash64(F.lit("alone"), "name")).alias("org"))
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:
