@@ -7,8 +7,8 @@
 2. Candidates come from a set-similarity join on the padded q-grams of the rare tokens, with a
    prefix filter: a set of n grams that must share k with another shares one of its n - k + 1
    rarest, so only those are looked up.
-3. Candidates are verified by soft weighted token similarity: tokens are aligned by edit distance,
-   as prefix abbreviations or as run-together words, each alignment weighing as its token is rare.
+3. Candidates are verified by soft token similarity: tokens are aligned by edit distance,
+   as prefix abbreviations or as run-together words, under fixed rules; rarity weighs no single token.
 4. Sure links form components. An abbreviated spelling joins the one component it fits; one that
    fits several best is left alone, for it would tie organisations together.
 
