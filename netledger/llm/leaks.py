@@ -1,54 +1,162 @@
 """Passages of held-out test items inside a training corpus.
 
-``leaked_passages`` lists every pair whose Smith-Waterman score reaches a bound, edited copies included:
+Both operators read the corpus in narrow scans: texts become word hashes in the task that reads them,
+and only the pairs that were found leave it. No text and no list of words is shuffled or broadcast.
+
+``shared_runs`` lists the pairs that hold ``run`` consecutive words:
+
+1. A first scan counts in how many texts each five-word gram of the items occurs.
+2. From each window of ``run`` words of an item that may occur whole the rarest gram is its seed, so
+   a text that holds ``run`` consecutive words of an item always holds a seed of it.
+3. A second scan looks up the seeds; each stretch of a text around them is aligned with the item
+   (Smith-Waterman), and the pairs that score as much as ``run`` equal words go on.
+
+``leaked_passages`` lists every pair whose score reaches a threshold that grows with the item, edited
+copies included:
 
 1. An upper bound of the score of each document against every item is kept word by word: two for a
    word the item holds, one off for each word left out and one more where two neighbours of the
    alignment are not as near in the item. It never lies under the score, so no pair is lost, and
    takes a few byte operations a word and item.
-2. Pairs whose bound reaches the wanted score are aligned, first by score alone on the stretch where
+2. Pairs whose bound reaches the threshold are aligned, first by score alone on the stretch where
    it may be reached, then whole.
 
-``shared_runs`` lists the pairs that hold ``run`` consecutive words, without that pass:
-
-1. Every five-word gram of an item is looked up in the corpus; its document frequency says how rare it is.
-2. From each window of ``run`` words of an item that may occur whole the rarest gram is its seed, so
-   a document that holds ``run`` consecutive words of an item always holds a seed of it.
-3. Each candidate (document, item) is aligned on the stretch of the document around its seeds.
+The item side grows with the number of test items alone. It is taken in blocks of about
+``BLOCK_CHARS`` characters, each against all texts, so what goes to a task is bounded.
 
-The item side grows with the number of test items alone. Its words (``leaked_passages``, in slices of
-``MAX_GRAMS`` words) or gram hashes (``shared_runs``, as a sorted array checked against ``MAX_GRAMS``;
-beyond that the scan joins by shuffle) go to the scan.
+Long texts are split into pieces of ``PIECE_CHARS`` characters while they become word hashes (eight
+bytes a word) and of ``PIECE_WORDS`` words, overlapping by what an alignment can span, for the bound.
 """
 
 from __future__ import annotations
 
+import math
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netledger.session import cut
-
 GRAM = 5
 RUN = 12
 #: Items whose bounds are kept side by side, and documents.
 ITEM_BLOCK, DOC_BLOCK = 256, 128
-#: Largest number of item grams or words shipped to every task at once (16 MB).
-MAX_GRAMS = 2_000_000
+#: Characters of items shipped to every task at once (at most as many grams: 16 MB).
+BLOCK_CHARS = 2_000_000
+PIECE_CHARS, PIECE_WORDS = 1 << 20, 4096
+#: Share of an item's words that an edited copy must hold, edits taken off; sentences of one template share half.
+MIN_SHARE = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
 _FACTOR = 0x9E3779B97F4A7C15
 _PACK = 1 << 24
+_BITS = 1 << 22
+_SEPARATOR, _WORD, _FORMAT = 1, 2, 3
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well-spread 64-bit values of unsigned numbers."""
+    with np.errstate(over="ignore"):
+        x = (x + np.uint64(1)) * np.uint64(_FACTOR)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
+class WordHasher:
+    """Texts to hashes of their words: runs of letters and digits, case folded, format characters off.
 
-def word_hashes(text) -> Column:
-    """Hashes of the words of a text: runs of letters and digits, folded in case, format characters off."""
-    c = F.col(text) if isinstance(text, str) else text
-    plain = F.lower(F.regexp_replace(c, "\\p{Cf}+", ""))
-    words = F.filter(F.split(plain, "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    Kind and value of a character are looked up once for each character that occurs. A word's hash is
+    the sum of its characters' values, each times a factor of its place.
+    """
+
+    def __init__(self):
+        self.kind = np.zeros(0x110000, np.uint8)
+        self.value = np.zeros(0x110000, np.uint64)
+        self.place = _mixed(np.arange(64, dtype=np.uint64)) | np.uint64(1)
+
+    def _learn(self, chars: np.ndarray) -> None:
+        for c in np.unique(chars).tolist():
+            ch = chr(c)
+            category = unicodedata.category(ch)
+            self.kind[c] = _FORMAT if category == "Cf" else _WORD if category[0] in "LN" else _SEPARATOR
+            low = ch.lower()
+            self.value[c] = _mixed(np.array([ord("σ" if low == "ς" else low[0])], np.uint64))[0]
+
+    def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = "\0".join(texts)
+        if "İ" in joined:  # the only character whose small form is two
+            texts = [t.replace("İ", "i\u0307") for t in texts]
+            joined = "\0".join(texts)
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kind[chars]
+        if not kind.all():
+            self._learn(chars[kind == 0])
+            kind = self.kind[chars]
+        at = np.flatnonzero(kind != _FORMAT) if (kind == _FORMAT).any() else None
+        if at is not None:
+            chars, kind = chars[at], kind[at]
+        inside = np.r_[False, kind == _WORD, False]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        sizes = ends - starts
+        if sizes.max() > len(self.place):
+            self.place = _mixed(np.arange(2 * int(sizes.max()), dtype=np.uint64)) | np.uint64(1)
+        first = np.r_[0, np.cumsum(sizes)[:-1]]
+        chars = chars[inside[1:-1]]
+        with np.errstate(over="ignore"):
+            parts = self.value[chars] * self.place[np.arange(len(chars)) - np.repeat(first, sizes)]
+            words = _mixed(np.add.reduceat(parts, first)).view(np.int64)
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+        text_of = np.searchsorted(begins, starts if at is None else at[starts], side="right") - 1
+        return words, np.bincount(text_of, minlength=len(texts))
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words end to end, and the number of words of each text; a null has none."""
+        flat, counts, sizes = [], np.zeros(len(texts), np.int64), 0
+        block: list[tuple[int, str]] = []
+
+        def flush() -> None:
+            nonlocal block, sizes
+            if block:
+                words, n = self._block([t for _, t in block])
+                flat.append(words)
+                np.add.at(counts, [i for i, _ in block], n)
+            block, sizes = [], 0
+
+        for i, t in enumerate(texts):
+            start = 0
+            while t and start < len(t):
+                stop = start + PIECE_CHARS
+                if stop < len(t):  # between words: at the last blank, else at the next
+                    back = t.rfind(" ", start + 1, stop)
+                    stop = back if back > 0 else t.find(" ", stop)
+                    stop = len(t) if stop < 0 else stop
+                block.append((i, t[start:stop]))
+                sizes += min(stop, len(t)) - start
+                start = stop
+                if sizes >= PIECE_CHARS:
+                    flush()
+        flush()
+        return (np.concatenate(flat) if flat else np.zeros(0, np.int64)), counts
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Ids, word hashes and numbers of words of slices of the batches, each of about ``PIECE_CHARS``."""
+    hasher = WordHasher()
+    for b in batches:
+        ids, text = b.column(0), b.column(1)
+        bytes_to = np.cumsum(pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            before = bytes_to[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(bytes_to, before + PIECE_CHARS, side="right")))
+            yield (ids[start:stop], *hasher(text[start:stop].to_pylist()))
+            start = stop
 
 
 def gram_hashes(flat: np.ndarray, sizes: np.ndarray, n: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,51 +176,18 @@ def gram_hashes(flat: np.ndarray, sizes: np.ndarray, n: int = GRAM) -> tuple[np.
     return h[inside].view(np.int64), row[inside], (at - starts[row])[inside]
 
 
-def _grams(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Rows (id, words) to (id, gram, pos), keeping only grams in the sorted array ``wanted``."""
-    if wanted is not None:  # a bit table answers most lookups before the search
-        bits = np.zeros(1 << 22, dtype=bool)
-        bits[wanted.view(np.uint64) & np.uint64((1 << 22) - 1)] = True
-    for b in batches:
-        words = b.column("words")
-        sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        gram, row, pos = gram_hashes(flat, sizes)
-        if wanted is not None:
-            at = np.flatnonzero(bits[gram.view(np.uint64) & np.uint64((1 << 22) - 1)])
-            if len(wanted):
-                found = np.minimum(np.searchsorted(wanted, gram[at]), len(wanted) - 1)
-                at = at[wanted[found] == gram[at]]
-            gram, row, pos = gram[at], row[at], pos[at]
-        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(gram), pa.array(pos.astype(np.int32))], names=["id", "gram", "pos"])
-
+def rare_seeds(df_by_gram: np.ndarray, width: int) -> np.ndarray:
+    """Positions of the seeds among an item's grams, given how many texts hold each.
 
-def rare_seeds(df_by_gram: np.ndarray, width: int, rare: int) -> np.ndarray:
-    """Positions of the seeds among an item's grams, given how many documents hold each.
-
-    Where a document may hold a whole window of ``width`` grams, that is where all of them occur, the
-    window's rarest gram is a seed (ties: the first). Elsewhere every gram that occurs in at most
-    ``rare`` documents is. Grams that occur nowhere find nothing. Lists shorter than a window are one.
+    Where a text may hold a whole window of ``width`` grams, that is where all of them occur, the
+    window's rarest gram is a seed (ties: the first). Lists shorter than a window are one.
     """
     n = len(df_by_gram)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    few = np.flatnonzero((df_by_gram > 0) & (df_by_gram <= rare))
     views = np.lib.stride_tricks.sliding_window_view(df_by_gram, min(n, width))
     whole = np.flatnonzero(views.min(axis=1) > 0)
-    return np.union1d(few, views[whole].argmin(axis=1) + whole).astype(np.int64)
-
-
-def _seeds(batches: Iterator[pa.RecordBatch], width: int, rare: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, grams, poss = [], [], []
-        for item, rows in zip(b.column("item_id").to_pylist(), b.column("grams").to_pylist()):
-            rows = sorted((r["pos"], r["gram"], r["df"]) for r in rows)
-            for k in rare_seeds(np.array([r[2] for r in rows]), width, rare):
-                ids.append(item)
-                poss.append(rows[k][0])
-                grams.append(rows[k][1])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.int64()), pa.array(poss, pa.int32())], names=["item_id", "gram", "item_pos"])
+    return np.unique(views[whole].argmin(axis=1) + whole).astype(np.int64)
 
 
 def align_many(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 16) -> list[tuple[int, int, int]]:
@@ -164,15 +239,6 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return align_many([(item, doc)])[0]
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        items, docs = b.column("item_words"), b.column("stretch")
-        pairs = [(items[i].values.to_numpy(zero_copy_only=False), docs[i].values.to_numpy(zero_copy_only=False)) for i in range(b.num_rows)]
-        found = align_many(pairs)
-        cols = list(zip(*[(*f, len(p[0])) for f, p in zip(found, pairs)])) if found else [[]] * 4
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), *(pa.array(c, pa.int32()) for c in cols)], names=["doc_id", "item_id", "score", "longest_run", "same_words", "item_words"])
-
-
 def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Place of each value in the sorted table; the table's length for values it lacks."""
     if not len(table):
@@ -189,9 +255,9 @@ class ScoreBound:
     item, at least one word of the item is left out besides.
     """
 
-    def __init__(self, items: list[np.ndarray], least: int):
-        self.least = least
-        self.kind, self.never = (np.int8, -100) if least <= 100 else (np.int32, -(1 << 28))
+    def __init__(self, items: list[np.ndarray], least: list[int]):
+        self.kind, self.never = (np.int8, -100) if max(least) <= 100 else (np.int32, -(1 << 28))
+        self.least = np.array(least, self.kind)
         self.vocabulary = np.unique(np.concatenate(items))
         n = len(self.vocabulary)
         self.items = [np.searchsorted(self.vocabulary, it) for it in items]
@@ -207,7 +273,7 @@ class ScoreBound:
             self.near.append((known, cost))
 
     def reached(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
-        """(document, item, first and last place where the bound is met) of the pairs that may score ``least``."""
+        """(document, item, first and last place where the bound is met) of the pairs that may score the item's ``least``."""
         n, out = len(self.vocabulary), []
         order = sorted((i for i in range(len(docs)) if len(docs[i])), key=lambda i: -len(docs[i]))
         for start in range(0, len(order), DOC_BLOCK):
@@ -237,8 +303,9 @@ class ScoreBound:
                 np.maximum(now, two, out=now)
                 np.maximum(now, 0, out=now)
                 now += np.take(self.gain, ids[p, :a], axis=0)
-                if now.max() >= self.least:
-                    i, k = np.nonzero(now >= self.least)
+                met = now >= self.least
+                if met.any():
+                    i, k = np.nonzero(met)
                     first[i, k] = np.where(first[i, k] < 0, p, first[i, k])
                     final[i, k] = p
                     np.minimum(now, self.least, out=now)
@@ -286,87 +353,186 @@ def best_scores(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 15
     return best
 
 
-def _leaked(batches: Iterator[pa.RecordBatch], ids: list[int], items: list[np.ndarray], least: int) -> Iterator[pa.RecordBatch]:
-    bounds = [(k, ScoreBound(items[k : k + ITEM_BLOCK], least)) for k in range(0, len(items), ITEM_BLOCK)]
-    for b in batches:
-        words = b.column("words")
-        ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))[:-1]
-        docs = np.split(words.flatten().to_numpy(zero_copy_only=False), ends) if b.num_rows else []
-        rows = []
+_OUT = "doc_id long, item_id long, score int, longest_run int, same_words int, item_words int"
+
+
+def _rows(found: list[tuple[int, int, int, int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*found)) if found else [[]] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _OUT.split(", ")])
+
+
+def _best(scored: list[tuple[tuple[int, int], tuple[int, int, int]]]) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Of each (text, item) the best score with its equal words, and the longest run, of all its stretches."""
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for pair, (score, run, same) in scored:
+        had = best.get(pair, (0, 0, 0))
+        top = max((score, same), (had[0], had[2]))
+        best[pair] = (top[0], max(run, had[1]), top[1])
+    return best
+
+
+def _leaked(batches: Iterator[pa.RecordBatch], ids: list[int], items: list[np.ndarray], least: list[int]) -> Iterator[pa.RecordBatch]:
+    bounds = [(k, ScoreBound(items[k : k + ITEM_BLOCK], least[k : k + ITEM_BLOCK])) for k in range(0, len(items), ITEM_BLOCK)]
+    wanted = np.array(least)
+    span = 3 * max(map(len, items))  # a score above 0 takes at most three words of the document for each of the item
+    for names, flat, sizes in _texts(batches):
+        ends = np.cumsum(sizes)
+        pieces = [(d, flat[at : min(at + PIECE_WORDS + span, ends[d])]) for d in range(len(sizes)) for at in range(ends[d] - sizes[d], ends[d], PIECE_WORDS)]
+        docs = [w for _, w in pieces]
+        hits = []
         for k, bound in bounds:
             met = bound.reached(docs)
             n = len(bound.vocabulary)
-            # a score above 0 takes at most three words of the document for each of the item
             near = [(bound.items[i], _find(bound.vocabulary, docs[d][max(0, lo - 3 * len(bound.items[i])) : hi + 1])) for d, i, lo, hi in met]
             near = [(i, np.where(w == n, -3, w)) for i, w in near]
-            rows += [(met[x][0], k + met[x][1]) for x in np.flatnonzero(best_scores(near) >= least)]
-        found = align_many([(items[i], docs[d]) for d, i in rows])
-        cols = list(zip(*[(*f, len(items[i])) for f, (_, i) in zip(found, rows)])) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays(
-            [b.column("id").take(pa.array([d for d, _ in rows], pa.int64())), pa.array([ids[i] for _, i in rows], pa.int64()), *(pa.array(c, pa.int32()) for c in cols)],
-            names=["doc_id", "item_id", "score", "longest_run", "same_words", "item_words"],
-        )
+            enough = best_scores(near) >= wanted[[k + i for _, i, *_ in met]] if met else np.zeros(0, bool)
+            hits += [(met[x][0], k + met[x][1]) for x in np.flatnonzero(enough)]
+        pairs = sorted({(pieces[d][0], i) for d, i in hits})
+        of: dict[int, list[int]] = {}
+        for p, (d, _) in enumerate(pieces):
+            of.setdefault(d, []).append(p)
+        every = [(d, i, p) for d, i in pairs for p in of[d]]  # the longest run may lie elsewhere
+        found = align_many([(items[i], docs[p]) for _, i, p in every])
+        best = _best([((d, i), f) for (d, i, _), f in zip(every, found)])
+        yield _rows([(names[d].as_py(), ids[i], *x, len(items[i])) for (d, i), x in best.items()])
+
+
+def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Ids and word hashes of the items, in blocks of about ``BLOCK_CHARS`` characters (one item at least)."""
+    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
+    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    slices = -(-total // BLOCK_CHARS)
+    for s in range(slices):
+        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).toArrow()
+        if block.num_rows:
+            flat, sizes = WordHasher()(block.column("text").to_pylist())
+            yield block.column("item_id").to_pylist(), np.split(flat, np.cumsum(sizes)[:-1])
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", min_score: int = 2 * RUN) -> DataFrame:
-    """``(doc_id, item_id, score, longest_run, same_words, item_words)`` of all pairs scoring ``min_score`` (above 0).
+def _corpus(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
 
-    ``longest_run`` is the greatest number of consecutive words both hold; every pair that shares
-    ``min_score / MATCH`` of them is found. Null and empty texts
-    and texts too short for the score match nothing. Each row is a text of its own, repeated ids too.
+
+def _union(parts: list[DataFrame], docs: DataFrame) -> DataFrame:
+    if not parts:
+        return docs.sparkSession.createDataFrame([], _OUT)
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+def threshold(n_words: int, min_score: int, min_share: float) -> int:
+    """Score an item of so many words must reach: that of ``min_share`` of its words, ``min_score`` at least."""
+    return max(min_score, math.ceil(MATCH * min_share * n_words))
+
+
+def leaked_passages(
+    docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", min_score: int = MATCH * RUN, min_share: float = MIN_SHARE
+) -> DataFrame:
+    """``(doc_id, item_id, score, longest_run, same_words, item_words)`` of all pairs that reach the :func:`threshold` of the item.
+
+    ``min_score`` is above 0. ``longest_run`` is the greatest number of consecutive words both hold,
+    ``same_words`` the equal words on the alignment. With ``min_share`` 0 every pair that shares
+    ``min_score / MATCH`` consecutive words is found. Null and empty texts and texts too short for the
+    score match nothing. Each row is a text of its own, repeated ids too; other columns are ignored.
     """
     if min_score < 1:
         raise ValueError("min_score must be above 0: pairs without a word in common score 0")
-    enough = F.size("words") * MATCH >= min_score
-    item_rows = cut(items.select(F.col(item_id).cast("long").alias("item_id"), word_hashes(text).alias("words")).where(enough), "item-words")
-    words = docs.select(F.col(doc_id).cast("long").alias("id"), word_hashes(text).alias("words")).where(enough)
-    total = item_rows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    slices = max(1, -(-total // MAX_GRAMS))
-    out = "doc_id long, item_id long, score int, longest_run int, same_words int, item_words int"
-    parts = []
-    for s in range(slices):
-        rows = item_rows.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(slices)) == s).toArrow()
-        ids = rows.column("item_id").to_pylist()
-        texts = [np.array(w, dtype=np.int64) for w in rows.column("words").to_pylist()]
-        parts.append(words.mapInArrow(lambda it, ids=ids, texts=texts: _leaked(it, ids, texts, min_score), out))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return scored
+    corpus, parts = _corpus(docs, doc_id, text), []
+    for ids, texts in item_blocks(items, item_id, text):
+        least = [threshold(len(t), min_score, min_share) for t in texts]
+        able = [i for i, t in enumerate(texts) if MATCH * len(t) >= least[i]]
+        if able:
+            block = [ids[i] for i in able], [texts[i] for i in able], [least[i] for i in able]
+            parts.append(corpus.mapInArrow(lambda it, block=block: _leaked(it, *block), _OUT))
+    return _union(parts, docs)
+
+
+def _wanted(gram: np.ndarray, wanted: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the grams that are in the sorted array; a bit table answers most lookups before the search."""
+    at = np.flatnonzero(bits[gram.view(np.uint64) & np.uint64(_BITS - 1)])
+    return at[_find(wanted, gram[at]) < len(wanted)]
+
+
+def _bit_table(wanted: np.ndarray) -> np.ndarray:
+    bits = np.zeros(_BITS, dtype=bool)
+    bits[wanted.view(np.uint64) & np.uint64(_BITS - 1)] = True
+    return bits
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(gram, number of texts) of the wanted grams, one row a gram and task."""
+    bits, counts = _bit_table(wanted), np.zeros(len(wanted), np.int64)
+    for _, flat, sizes in _texts(batches):
+        gram, row, _ = gram_hashes(flat, sizes)
+        at = _wanted(gram, wanted, bits)
+        pair = np.unique(row[at] * len(wanted) + np.searchsorted(wanted, gram[at]))
+        counts += np.bincount(pair % len(wanted), minlength=len(wanted))
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(wanted[some]), pa.array(counts[some])], names=["gram", "n"])
+
+
+def _stretches(row: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray, most: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, item, begin, end): overlapping stretches of a pair united up to ``most`` words; longer chains start anew."""
+    out: list[list[int]] = []
+    for k in np.lexsort((begin, item, row)).tolist():
+        r, i, lo, hi = int(row[k]), int(item[k]), int(begin[k]), int(end[k])
+        if out and out[-1][:2] == [r, i] and lo <= out[-1][3] and hi - out[-1][2] <= most[i]:
+            out[-1][3] = max(out[-1][3], hi)
+        else:
+            out.append([r, i, lo, hi])
+    return [tuple(x) for x in out]
+
+
+def _seeded(batches: Iterator[pa.RecordBatch], ids: list[int], items: list[np.ndarray], seeds: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that hold a seed and score ``least``; ``seeds`` are gram, item and place, sorted by gram."""
+    gram_of, item_of, place_of = seeds
+    wanted, first, many = np.unique(gram_of, return_index=True, return_counts=True)
+    bits = _bit_table(wanted)
+    lengths = np.array([len(t) for t in items])
+    for names, flat, sizes in _texts(batches):
+        gram, row, pos = gram_hashes(flat, sizes)
+        at = _wanted(gram, wanted, bits)
+        known = np.searchsorted(wanted, gram[at])
+        reps = many[known]
+        hit = np.repeat(first[known], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        row, pos, item = np.repeat(row[at], reps), np.repeat(pos[at], reps), item_of[hit]
+        lead = pos - place_of[hit]  # where the item would begin
+        ends = np.cumsum(sizes)
+        # the run lies where the item would; half an item more on either side lets the alignment go on over edits
+        begin = np.maximum(0, lead - lengths[item] // 2)
+        end = np.minimum(sizes[row], lead + lengths[item] + lengths[item] // 2)
+        spans = _stretches(row, item, begin, end, 8 * lengths)
+        found = align_many([(items[i], flat[ends[r] - sizes[r] + lo : ends[r] - sizes[r] + hi]) for r, i, lo, hi in spans])
+        best = _best([((r, i), f) for (r, i, *_), f in zip(spans, found) if f[0] >= least])
+        yield _rows([(names[r].as_py(), ids[i], *x, len(items[i])) for (r, i), x in best.items()])
 
 
 def shared_runs(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", run: int = RUN) -> DataFrame:
     """``(doc_id, item_id)`` and the alignment around their seeds, of pairs that share ``run`` consecutive words.
 
-    Null and empty texts and texts shorter than a gram match nothing. Repeated ids are treated as one
-    text each and give one row per distinct pair of rows.
+    ``run`` is ``GRAM`` or more. Null and empty texts and texts shorter than ``run`` match nothing. Each
+    row is a text of its own, repeated ids too; other columns are ignored.
     """
-    item_rows = items.select(F.col(item_id).cast("long").alias("item_id"), word_hashes(text).alias("words")).where(F.size("words") >= GRAM)
-    item_rows = cut(item_rows, "item-words")
-    item_grams = cut(item_rows.select(F.col("item_id").alias("id"), "words").mapInArrow(lambda it: _grams(it, None), "id long, gram long, pos int"), "item-grams")
-    distinct = item_grams.select("gram").distinct()
-    small = distinct.limit(MAX_GRAMS + 1).count() <= MAX_GRAMS
-    wanted = np.sort(distinct.toPandas()["gram"].to_numpy(dtype=np.int64)) if small else None
-
-    words = docs.select(F.col(doc_id).cast("long").alias("id"), word_hashes(text).alias("words")).where(F.size("words") >= GRAM)
-    hits = words.mapInArrow(lambda it: _grams(it, wanted), "id long, gram long, pos int")
-    if not small:
-        hits = hits.join(distinct, "gram", "left_semi")
-    hits = cut(hits, "gram-hits")
-
-    df = hits.groupBy("gram").agg(F.countDistinct("id").alias("df"))
-    listed = item_grams.join(df, "gram", "left").groupBy(F.col("id").alias("item_id")).agg(
-        F.collect_list(F.struct("pos", "gram", F.coalesce("df", F.lit(0)).alias("df"))).alias("grams")
-    )
-    seeds = listed.mapInArrow(lambda it: _seeds(it, run - GRAM + 1, 0), "item_id long, gram long, item_pos int")
-    met = hits.join(seeds, "gram").groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    sizes = item_rows.select("item_id", F.col("words").alias("item_words"))
-    texts = words.select(F.col("id").alias("doc_id"), "words")
-    near = met.join(texts, "doc_id").join(sizes, "item_id")
-    begin = F.greatest(F.lit(1), F.col("lo") + 1 - F.size("item_words"))
-    stretch = F.slice("words", begin, F.col("hi") + GRAM + F.size("item_words") - begin + 1)
-    out = "doc_id long, item_id long, score int, longest_run int, same_words int, item_words int"
-    # pairs are few bytes and much work: a set number of parts, lest they be merged into a handful
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scored = near.select("doc_id", "item_id", "item_words", stretch.alias("stretch")).repartition(parts, "doc_id", "item_id").mapInArrow(_aligned, out)
-    return scored.where(F.col("longest_run") >= run)
+    if run < GRAM:
+        raise ValueError(f"run must be {GRAM} or more")
+    corpus, parts = _corpus(docs, doc_id, text), []
+    for ids, texts in item_blocks(items, item_id, text):
+        flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+        gram, item, place = gram_hashes(flat, sizes)
+        wanted = np.unique(gram)
+        if not len(wanted):
+            continue
+        counts = corpus.mapInArrow(lambda it, wanted=wanted: _gram_counts(it, wanted), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+        df = np.zeros(len(wanted), np.int64)
+        df[np.searchsorted(wanted, counts.column("gram").to_numpy())] = counts.column("n").to_numpy()
+        df = df[np.searchsorted(wanted, gram)]  # in the order of item and place
+        starts = np.r_[0, np.cumsum(np.bincount(item, minlength=len(texts)))]
+        pick = np.concatenate([starts[i] + rare_seeds(df[starts[i] : starts[i + 1]], run - GRAM + 1) for i in range(len(texts))])
+        pick = pick[np.argsort(gram[pick], kind="stable")]
+        if len(pick):
+            block = ids, texts, (gram[pick], item[pick], place[pick])
+            parts.append(corpus.mapInArrow(lambda it, block=block: _seeded(it, *block, MATCH * run), _OUT))
+    return _union(parts, docs).where(F.col("longest_run") >= run)

@@ -44,8 +44,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs that align well, edited copies included."""
-    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Edited copies of whole items, and passages of twelve and more words; of a pair found both ways the better score."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    both = leaked_passages(docs, items).unionByName(shared_runs(docs, items))
+    best = F.max(F.struct("score", "same_words")).alias("best")
+    found = both.groupBy("doc_id", "item_id").agg(best, F.max("longest_run").alias("longest_run"), F.max("item_words").alias("item_words"))
+    return found.select("doc_id", "item_id", "best.score", "longest_run", "best.same_words", "item_words")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
