@@ -1,19 +1,22 @@
 """Spellings of organisation names that mean the same organisation.
 
-1. Names are folded (accents, case, punctuation, camel case) into tokens. Tokens that occur in a
-   large share of the names, beside words of more than one organisation, or are known legal forms
-   and trade words, are generic: they only serve to contradict a match. What remains, the rare
-   tokens, decides. Names of generic words alone are linked where they fold to the same words.
-2. Candidates come from a set-similarity join on the padded q-grams of the rare tokens, with a
-   prefix filter: a set of n grams that must share k with another shares one of its n - k + 1
-   rarest, so only those are looked up.
-3. Candidates are verified by soft token similarity: tokens are aligned by edit distance,
-   as prefix abbreviations or as run-together words, under fixed rules; rarity weighs no single token.
+1. Names are folded (accents, case, punctuation, camel case) into tokens. What is no organisation's
+   own is learnt from the names (:func:`learn_words`): generic words are frequent and stand beside
+   many other words; short forms and synonyms take a generic word's place in names that are else
+   alike; noise comes and goes in the names of several organisations; generic words that never stand
+   together are rivals. There is no list of words. What remains, the rare tokens, decides.
+2. Candidates come from a set-similarity join on the padded q-grams of the rare tokens, each gram
+   weighing as it is rare. A pair must share ``SHARED`` of the weight of the lighter set, so only the
+   grams at the front of the order of rarity are looked up, and only where enough weight of the other
+   set lies behind (prefix and position filter). Grams in many names are looked up in blocks.
+3. Candidates are verified by soft token similarity: tokens are aligned by edit distance, as prefix
+   or vowelless abbreviations or as run-together words, and each alignment and each token left over
+   weighs as its token is rare. Names with rival generic words don't match.
 4. Sure links form components. An abbreviated spelling joins the one component it fits; one that
    fits several best is left alone, for it would tie organisations together.
 
-Nothing is capped: every name is indexed and every candidate verified. The number of generic tokens
-is bounded by ``tokens a name / GENERIC_SHARE``, so their list can be collected and shipped.
+Nothing is capped: every name is indexed and every candidate verified. What is learnt is bounded by
+shares of the names (``GENERIC_SHARE``, ``WORD_SHARE``), so it can be collected and shipped.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,32 +35,22 @@ from pyspark.sql import functions as F
 from netledger.session import cut
 
 Q = 4
-#: Tokens in at least this share of all names (and in GENERIC_LEAST names) are generic.
-GENERIC_SHARE, GENERIC_LEAST = 0.03, 40
-#: Share of a gram set that must recur in the other; sets of one run-together word need less.
-SHARED, SHARED_ONE = 0.25, 0.25
-
-# fixed values: legal forms and their usual long forms
-LEGAL = {
-    "ltd": "ltd", "limited": "ltd", "inc": "inc", "incorporated": "inc", "llc": "llc", "gmbh": "gmbh", "sa": "sa", "bv": "bv",
-    "ab": "ab", "sro": "sro", "pty": "pty", "proprietary": "pty", "plc": "plc", "ag": "ag", "as": "as", "oy": "oy", "spa": "spa",
-    "corp": "corp", "corporation": "corp", "co": "co", "company": "co", "srl": "srl", "sarl": "sarl", "kg": "kg", "nv": "nv",
-}
-# fixed values: trade words and their usual short forms
-TRADE = {
-    "university": "university", "uni": "university", "univ": "university", "fibre": "fibre", "fiber": "fibre", "fbr": "fibre",
-    "technologies": "technologies", "technology": "technologies", "tech": "technologies", "techn": "technologies", "telecom": "telecom",
-    "telecoms": "telecom", "telekom": "telecom", "tel": "telecom", "telco": "telecom", "tlcm": "telecom", "telecommunications": "telecom", "systems": "systems",
-    "system": "systems", "sys": "systems", "networks": "networks", "network": "networks", "net": "networks", "netw": "networks", "nets": "networks",
-    "nwks": "networks", "nw": "networks", "networking": "networks", "hosting": "hosting", "host": "hosting", "hstg": "hosting", "internet": "internet", "inet": "internet", "exchange": "exchange",
-    "exch": "exchange", "ix": "internet", "ixp": "internet", "communications": "communications", "communication": "communications",
-    "comm": "communications", "comms": "communications", "cmns": "communications", "data": "data", "dataservices": "data", "ds": "data", "services": "services", "service": "services",
-    "svcs": "services", "svc": "services", "international": "international", "intl": "international", "int": "international",
-    "internat": "international", "broadband": "broadband", "brdbnd": "broadband", "bb": "broadband", "broad": "broadband", "band": "broadband",
-}
-# fixed values: words that say nothing
-NOISE = {"the", "ms", "messrs", "autonomous"}
-LISTED = frozenset(TRADE) | frozenset(LEGAL) | NOISE
+#: Tokens in at least this share of all names (and in GENERIC_LEAST names) may be generic, if OTHERS of
+#: the names they stand in hold a rare word besides.
+GENERIC_SHARE, GENERIC_LEAST, OTHERS = 0.03, 12, 0.5
+#: Tokens below this share of the names (or 2 names) count as equally rare and are no short forms.
+WORD_SHARE = 1e-4
+#: Share of the organisations with a short form in which the generic word stands in its place.
+IN_PLACE = 0.4
+#: Generic words that stand together in less than this part of what chance would have are rivals.
+TOGETHER = 0.2
+#: Share of the weight of the lighter gram set that must recur in the other.
+SHARED = 0.35
+#: Names looked up at once for one gram.
+BLOCK = 5_000
+#: Least soft similarity of a link.
+SURE = 0.85
+
 _FOLD = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "ı": "i"})
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
 _MARK = re.compile(r"^(?:AS|as|As)[-_ ](?=\S)|[-_ ](?:AS|as|As)$")
@@ -114,54 +109,73 @@ def _within(short: str, long: str) -> bool:
     return all(ch in it for ch in short)
 
 
-def generic_of(token: str, generics: dict[str, str]) -> str | None:
-    """The generic word that a token is, shortens or misspells."""
-    if token in generics:
-        return generics[token]
-    if len(token) < 3:
+@dataclass
+class Words:
+    """What the names teach about their words."""
+
+    total: int = 1
+    meanings: dict[str, tuple[str, ...]] = field(default_factory=dict)  # generic words, short forms; noise means nothing
+    rivals: set[tuple[str, str]] = field(default_factory=set)
+    counts: dict[str, int] = field(default_factory=dict)
+
+    def weight(self, token: str) -> float:
+        """Rarity of a token among the names."""
+        return math.log(1 + self.total / self.counts.get(token, max(1.0, WORD_SHARE * self.total)))
+
+    def generic(self, token: str) -> tuple[str, ...] | None:
+        """The generic words that a token is, shortens or misspells."""
+        if token in self.meanings:
+            return self.meanings[token]
+        if len(token) < 3:
+            return None
+        for word, meaning in self.meanings.items():
+            if len(word) < 5 or word[0] != token[0] or not meaning:
+                continue
+            if len(token) >= 4 and (word.startswith(token) or (len(token) >= 5 and edits(token, word, 1) <= 1)):
+                return meaning
+            if shortens(token, word):
+                return meaning
         return None
-    for word, meaning in generics.items():
-        if len(word) < 5 or word[0] != token[0]:
-            continue
-        if len(token) >= 4 and (word.startswith(token) or (len(token) >= 5 and edits(token, word, 1) <= 1)):
-            return meaning
-        if len(token) < len(word) and _within(token, word) and _within(_skeleton(word), token):
-            return meaning
-    return None
-
-
-def parse(name: str, generics: dict[str, str]) -> tuple[list[str], list[str], list[str]]:
-    """Rare tokens (sorted), trade words and legal forms of a name."""
-    rare, trade, legal = [], [], []
-    for t in tokens(name):
-        if t in NOISE:
-            continue
-        meaning = generic_of(t, generics)
+
+    def compatible(self, a: list[str], b: list[str]) -> bool:
+        """No generic word of one is a rival of one of the other that the first lacks."""
+        left, right = set(a) - set(b), set(b) - set(a)
+        return not any((u, v) in self.rivals for u in left for v in right)
+
+
+def shortens(short: str, long: str) -> bool:
+    """``short`` is ``long`` without some of its vowels, three letters at least."""
+    return 3 <= len(short) < len(long) and short[0] == long[0] and _within(short, long) and _within(_skeleton(long), short)
+
+
+def parse(name: str, words: Words) -> tuple[list[str], list[str]]:
+    """Rare tokens and generic words of a name, both sorted."""
+    rare, generic, split = [], [], tokens(name)
+    for i in range(len(split) - 1, 0, -1):  # a generic word written as two
+        if words.meanings.get(whole := split[i - 1] + split[i]) == (whole,):
+            split[i - 1 : i + 1] = [whole]
+    for t in split:
+        meaning = words.generic(t)
         if meaning is None:
             rare.append(t)
-        elif meaning in LEGAL:
-            legal.append(meaning)
         else:
-            trade.append((t, meaning))
-    if len(rare) < 2:  # what merely resembles a trade word, or shortens one, may be a rare word after all
-        fuzzy = [x for x in trade if x[0] not in generics]
-        like = fuzzy or [x for x in trade if x[0] != x[1] and len(x[0]) <= 4 and x[1].startswith(x[0])]
-        if like and (len(trade) > 1 or (rare and len(rare[0]) <= (10 if fuzzy else 7))):
+            generic.append((t, meaning))
+    if len(rare) < 2:  # what merely resembles a generic word, or shortens one, may be a rare word after all
+        fuzzy = [x for x in generic if x[0] not in words.meanings]
+        like = fuzzy or [x for x in generic if x[1] and x[0] not in x[1] and len(x[0]) <= 4 and x[1][0].startswith(x[0])]
+        if like and (len(generic) > 1 or (rare and len(rare[0]) <= (10 if fuzzy else 7))):
             rare.append(like[0][0])
-            trade.remove(like[0])
-    meanings = sorted({m for _, m in trade})
-    if len(meanings) > 1:
-        meanings = [m for m in meanings if m != "services"]
-    return sorted(rare), meanings, sorted(set(legal))
+            generic.remove(like[0])
+    return sorted(rare), sorted({m for _, meaning in generic for m in meaning})
 
 
 def grams(rare: list[str]) -> list[str]:
-    """Padded q-grams of each rare token and its letters in order of the alphabet, which swaps leave alone; a set."""
+    """Padded q-grams of each rare token and its first two letters, which abbreviations keep; a set."""
     out = set()
     for t in rare:
         padded = f"^{t}$"
         out.update(padded[i : i + Q] for i in range(max(1, len(padded) - Q + 1)))
-        out.add("~" + "".join(sorted(t)))
+        out.add(padded[:3] + "<")
     return sorted(out)
 
 
@@ -171,7 +185,7 @@ def _same(a: str, b: str) -> float:
         return 1.0
     short, long = sorted((a, b), key=len)
     slips = 2 if len(short) >= 9 else 1
-    if len(short) >= 4 and edits(a, b, slips) <= slips:
+    if (len(short) >= 4 and edits(a, b, slips) <= slips) or shortens(short, long):
         return 0.9
     if 2 <= len(short) < len(long) and long.startswith(short):
         return 0.6
@@ -181,10 +195,12 @@ def _same(a: str, b: str) -> float:
 
 
 def soft_similarity(a: list[str], b: list[str], weight=lambda t: 1.0) -> float:
-    """Weighted share of rare tokens that find a like token; at most one may be cut short.
+    """Soft weighted similarity of two lists of rare tokens.
 
-    0.85 or more is a sure link, 0.5 or more an abbreviation (0.1 better if all else is equal), else
-    no link.
+    Tokens are aligned with their likest; the aligned weight by its likeness is set against all
+    weight. ``SURE`` or more is a sure link. At most one token may be cut short; if counting it as
+    whole makes the link sure, 0.5 to 0.7 tell how good the abbreviation is (0.1 better if another
+    token is equal). Otherwise 0.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -203,51 +219,39 @@ def soft_similarity(a: list[str], b: list[str], weight=lambda t: 1.0) -> float:
                 elif len(v) >= 4 and abs(len(x) - k - len(v)) <= 1 and best < 0.5 and edits(x, u[:k] + v, 1) <= 1:
                     best = 0.5
         return best
-    used: set[int] = set()
-    total = gained = 0.0
-    least, cut_short = 1.0, 0
+    free = list(b)
+    total = sum(map(weight, a)) + sum(map(weight, b))
+    gained = whole = 0.0
+    cuts, aligned = [], 0
     for x in sorted(a, key=len, reverse=True):
-        likes = [(_same(x, y), j) for j, y in enumerate(b) if j not in used]
-        s, j = max(likes, key=lambda p: p[0]) if likes else (0.0, -1)
-        w = weight(x)
-        total += w
-        if s:
-            used.add(j)
-            gained += s * w
-            cut_short += s < 0.85
-        least = min(least, s)
-    rest = [y for j, y in enumerate(b) if j not in used]
-    total += sum(weight(y) * (0.3 if len(y) <= 3 else 1.0) for y in rest)
-    if least == 0.0 or cut_short > 1 or len(a) < 2:
-        return 0.0
-    if rest and any(len(y) > 3 for y in rest):
+        s, y = max(((_same(x, y), y) for y in free), default=(0.0, ""))
+        if not s:
+            continue
+        free.remove(y)
+        aligned += 1
+        w = weight(x) + weight(y)
+        gained += s * w
+        whole += (s if s >= SURE else 1.0) * w
+        if s < SURE:
+            cuts.append(s)
+    if aligned < 2 or len(cuts) > 1 or whole < SURE * total:
         return 0.0
-    if cut_short:
-        others = [_same(x, y) for x in a for y in b]
-        return least + 0.1 * (1.0 in others)
-    return gained / total if total else 0.0
-
+    if cuts:
+        return cuts[0] + 0.1 * bool(set(a) & set(b))
+    return gained / total
 
-def compatible(trade_a: list[str], legal_a: list[str], trade_b: list[str], legal_b: list[str]) -> bool:
-    """Generic words don't contradict: either side lacks them or they meet."""
-    return (not trade_a or not trade_b or bool(set(trade_a) & set(trade_b))) and (not legal_a or not legal_b or set(legal_a) <= set(legal_b) or set(legal_b) <= set(legal_a))
 
+_NODE = "name string, rare array<string>, generic array<string>, grams array<string>"
 
-_NODE = "name string, rare array<string>, trade array<string>, legal array<string>, grams array<string>"
 
-
-def _parsed(batches: Iterator[pa.RecordBatch], generics: dict[str, str]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[pa.RecordBatch]:
     for b in batches:
         names = b.column(0).to_pylist()
-        rows = [(n, *parse(n, generics)) for n in names]
+        rows = [parse(n, words) for n in names]
         texts = pa.list_(pa.string())
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.string()),
-                *(pa.array([r[i] for r in rows], texts) for i in (1, 2, 3)),
-                pa.array([grams(r[1]) for r in rows], texts),
-            ],
-            names=["name", "rare", "trade", "legal", "grams"],
+            [b.column(0), *(pa.array([r[i] for r in rows], texts) for i in (0, 1)), pa.array([grams(r[0]) for r in rows], texts)],
+            names=["name", "rare", "generic", "grams"],
         )
 
 
@@ -256,49 +260,107 @@ def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([sorted(set(tokens(n))) for n in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["toks"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], top: dict[str, str | None]) -> Iterator[pa.RecordBatch]:
-    """Frequent tokens of each name that stand beside a word unlike their most frequent partner."""
+def _parted(batches: Iterator[pa.RecordBatch], meanings: dict[str, tuple[str, ...]]) -> Iterator[pa.RecordBatch]:
+    """Tokens of each name as generic words and the rest."""
+    texts = pa.list_(pa.string())
     for b in batches:
-        out = []
-        for toks in b.column("toks").to_pylist():
-            words = [t for t in toks if t not in LISTED]
-            for t in top.keys() & set(toks):
-                others = [w for w in words if w != t]
-                if others and not any(_same(w, top[t]) for w in others):
-                    out.append(t)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["t"])
+        rows = b.column("toks").to_pylist()
+        own = [sorted({m for t in r if t in meanings for m in meanings[t]}) for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(own, texts), pa.array([[t for t in r if t not in meanings] for r in rows], texts)], names=["own", "rest"])
+
+
+def _stands_for(token: str, word: str) -> bool:
+    """One of the two is written with letters of the other, in order and from the first."""
+    return token[0] == word[0] and (_within(token, word) or _within(word, token))
+
+
+def _array(values) -> F.Column:
+    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def generic_words(toks: DataFrame, total: int) -> list[str]:
-    """Tokens in ``GENERIC_SHARE`` of the names, those of the organisation that uses them most not counted.
+def _spelling(c: str) -> F.Column:
+    return F.xxhash64(F.array_join(F.array_sort(c), " "))
 
-    A word of an organisation's own stands beside the same other word, however that is spelled, or
-    alone; a trade word stands beside many. ``toks`` has the distinct tokens of each name.
+
+def _union(c: str) -> F.Column:
+    return F.array_distinct(F.flatten(F.collect_set(c)))
+
+
+def _pair_counts(sets: DataFrame) -> dict[tuple[str, str], int]:
+    """In how many sets ``own`` of generic words two stand together, and each (with itself)."""
+    two = sets.select(F.explode("own").alias("u"), "own").select("u", F.explode("own").alias("v")).where("u <= v")
+    return {(r.u, r.v): r["count"] for r in two.groupBy("u", "v").count().collect()}
+
+
+def learn_words(toks: DataFrame, total: int) -> Words:
+    """Generic words, their short forms, noise, rivals and frequent tokens of names; ``toks`` has each name's distinct tokens.
+
+    A frequent word of one organisation's own stands with hardly any rare word but misspellings,
+    so it isn't generic however many spellings the organisation has. A token in whose place a generic
+    word stands in the names of two or more organisations (``IN_PLACE`` of those where it is left out;
+    of one, if the letters agree) is a short form; one that is left out by three or more is noise.
+    """
+    one = toks.select(F.explode("toks").alias("t"))
+    frequent = one.groupBy("t").count().where(F.col("count") >= max(2.0, WORD_SHARE * total))  # at most tokens a name / WORD_SHARE
+    counts = {r.t: r["count"] for r in frequent.collect()}
+    words = Words(total, counts=counts)
+    often = [t for t, k in counts.items() if k >= max(GENERIC_LEAST, GENERIC_SHARE * total)]  # at most tokens a name / GENERIC_SHARE
+    if not often:
+        return words
+    some = F.array_intersect("toks", _array(often))
+    beside = F.exists(F.array_except("toks", _array(often)), lambda x: F.length(x) >= 4)
+    of_many = toks.where(beside).select(F.explode(some).alias("t")).groupBy("t").count().collect()
+    generic = sorted(r.t for r in of_many if r["count"] >= OTHERS * counts[r.t])
+    words.meanings = {t: (t,) for t in sorted(generic, key=lambda t: (-counts[t], t))}
+
+    parts = toks.mapInArrow(lambda it, m=dict(words.meanings): _parted(it, m), "own array<string>, rest array<string>")
+    alike = parts.where(F.size("rest") > 0).groupBy(_spelling("rest").alias("key")).agg(_union("own").alias("own"))
+    together, in_one = _pair_counts(parts), _pair_counts(alike)
+    for i, u in enumerate(generic):
+        for v in generic[i + 1 :]:
+            if together.get((u, v), 0) >= TOGETHER * counts[u] * counts[v] / total:
+                continue
+            if in_one.get((u, v), 0) >= TOGETHER * min(in_one.get((u, u), 0), in_one.get((v, v), 0)) > 0:  # one organisation uses both
+                rarer, other = sorted((u, v), key=lambda t: (counts[t], t))
+                words.meanings[rarer] = words.meanings[other]
+            else:
+                words.rivals |= {(u, v), (v, u)}
+
+    while found := _stand_ins(toks, words, frequent):  # a new word may uncover others, as of forms of two words
+        words.meanings |= found
+    return words
+
+
+def _stand_ins(toks: DataFrame, words: Words, frequent: DataFrame) -> dict[str, tuple[str, ...]]:
+    """Tokens in whose place generic words stand, or nothing, in names that are else alike.
+
+    What remains of a name without the token tells the organisation; names that are just that show
+    what stands there else.
     """
-    one = toks.select(F.explode("toks").alias("t"), "toks")
-    counts = {r.t: r["count"] for r in one.groupBy("t").count().where(F.col("count") >= GENERIC_LEAST).where(F.col("count") >= GENERIC_SHARE * total).collect()}
-    counts = {t: k for t, k in counts.items() if t not in LISTED}
-    if not counts:
-        return []
-    beside = one.where(F.col("t").isin(list(counts))).select("t", F.explode("toks").alias("p")).where((F.col("p") != F.col("t")) & ~F.col("p").isin(sorted(LISTED)))
-    # ties: the greater word, so that the result is the same every time
-    best = beside.groupBy("t", "p").count().groupBy("t").agg(F.max(F.struct("count", "p")).alias("best"))
-    top = {r.t: r.best.p for r in best.collect()}
-    rest = {r.t: r["count"] for r in toks.mapInArrow(lambda it: _contexts(it, top), "t string").groupBy("t").count().collect()}
-    return [t for t, k in counts.items() if rest.get(t, 0) >= max(GENERIC_LEAST, GENERIC_SHARE * (total - k + rest.get(t, 0)))]
-
-
-def _verified(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
+    parts = toks.mapInArrow(lambda it, m=dict(words.meanings): _parted(it, m), "own array<string>, rest array<string>").where(F.size("rest") > 0)
+    left = parts.where(F.size("rest") > 1).select(F.explode("rest").alias("t"), "rest", "own").join(frequent.select("t"), "t", "left_semi")
+    left = left.select("t", _spelling(F.array_remove("rest", F.col("t"))).alias("key"), "own").groupBy("t", "key").agg(_union("own").alias("own"))
+    right = parts.groupBy(_spelling("rest").alias("key")).agg(_union("own").alias("else"))
+    met = left.join(right, "key").select("t", "key", F.explode_outer(F.array_except("else", "own")).alias("word"))
+    counted = met.groupBy("t", "word").agg(F.countDistinct("key").alias("k")).groupBy("t").agg(F.collect_list(F.struct("word", "k")).alias("words"))
+    organisations = met.groupBy("t").agg(F.countDistinct("key").alias("n"))
+    out = {}
+    for r in organisations.join(counted, "t", "left").orderBy("t").collect():
+        meant = tuple(sorted(x.word for x in r.words if x.word and x.k >= IN_PLACE * r.n and (x.k > 1 or _stands_for(r.t, x.word))))
+        if meant or r.n >= 3:
+            out[r.t] = meant
+    return out
+
+
+def _verified(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[pa.RecordBatch]:
+    """Links among candidate pairs; shared generic words make a score better by 0.01 each, 0.03 at most."""
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
         keep, scores = [], []
-        for i, (ra, ta, la, rb, tb, lb) in enumerate(zip(*cols[2:8])):
-            s = soft_similarity(ra, rb, lambda t: math.log(1 + total / 2) if len(t) > 3 else 1.0)
-            if s < 0.5 or not compatible(ta, la, tb, lb):
-                continue
-            s += 0.02 * bool(set(ta) & set(tb)) + 0.01 * bool(set(la) & set(lb))
-            keep.append(i)
-            scores.append(s)
+        for i, (ra, ga, rb, gb) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 6)))):
+            s = soft_similarity(ra, rb, words.weight)
+            if s and words.compatible(ga, gb):
+                keep.append(i)
+                scores.append(s + 0.01 * min(3, len(set(ga) & set(gb))))
         at = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(scores, pa.float64())], names=["a", "b", "score"])
 
@@ -312,7 +374,9 @@ def components(nodes: DataFrame, links: DataFrame, name: str = "components") ->
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id")
     labels = cut(labels, f"{name}-0")
-    for i in range(1, 40):
+    i = 0
+    while True:
+        i += 1
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels.id == near.a).select("id", F.least("comp", "near").alias("new"), F.col("comp").alias("old"))
         up = step.select(F.col("id").alias("up_id"), F.col("new").alias("up"))
@@ -325,57 +389,72 @@ def components(nodes: DataFrame, links: DataFrame, name: str = "components") ->
     return nodes.join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose shared grams weigh ``need``; a gram and its pair are one number, looked up in all of the other side."""
+    for b in batches:
+        rows = np.arange(b.num_rows)
+        coded = []
+        for c in ("g_a", "g_b"):
+            row = np.repeat(rows, b.column(c).value_lengths().to_numpy(zero_copy_only=False))
+            coded.append((row, b.column(c).flatten().to_numpy(zero_copy_only=False) * 31 + row * 0x1E3779B97F4A7C15))
+        (row, ours), (_, theirs) = coded
+        theirs = np.sort(theirs)
+        shared = theirs[np.minimum(np.searchsorted(theirs, ours), max(0, len(theirs) - 1))] == ours if len(theirs) else np.zeros(0, bool)
+        weight = np.bincount(row[shared], b.column("w_a").flatten().to_numpy(zero_copy_only=False)[shared], minlength=b.num_rows)
+        at = pa.array(np.flatnonzero(weight >= b.column("need").to_numpy(zero_copy_only=False)))
+        yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], names=["a", "b"])
+
+
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """``(a, b)`` of ``nodes`` (``node, grams``) whose grams share ``SHARED`` of the weight of the lighter set.
+
+    A gram weighs the logarithm of its rarity. In the order of rarity, the first gram two sets share
+    lies where at least that weight is left in either.
+    """
+    n = nodes.count()
+    posted = nodes.select("node", F.explode("grams").alias("g"))
+    df = posted.groupBy("g").agg(F.count(F.lit(1)).alias("df")).withColumn("w", F.log1p(F.lit(float(n)) / F.col("df")))
+    by_rarity = Window.partitionBy("node").orderBy("df", "g")
+    left = F.sum("w").over(by_rarity.rowsBetween(0, Window.unboundedFollowing))
+    ranked = posted.join(df, "g").withColumns({"left": left, "total": F.sum("w").over(Window.partitionBy("node"))})
+    ranked = cut(ranked.withColumn("blocks", F.ceil(F.col("df") / BLOCK).cast("int")), "name-grams")
+    need = F.lit(SHARED) * F.col("total") - 1e-9
+    probes = ranked.where(F.col("left") >= need).select(F.col("node").alias("a"), "g", need.alias("need"), F.col("total").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    index = ranked.select(F.col("node").alias("b"), "g", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "left", F.col("total").alias("tb"))
+    heavier = (F.col("tb") > F.col("ta")) | ((F.col("tb") == F.col("ta")) & (F.col("b") > F.col("a")))
+    met = probes.join(index, ["g", "block"]).where(heavier & (F.col("left") >= F.col("need"))).select("a", "b", "need").distinct()
+    sets = ranked.groupBy("node").agg(F.collect_list(F.struct(F.xxhash64("g").alias("g"), "w")).alias("set")).select("node", "set.g", "set.w")
+    full = met.join(sets.toDF("a", "g_a", "w_a"), "a").join(sets.select("node", "g").toDF("b", "g_b"), "b")
+    return full.select("a", "b", "need", "g_a", "w_a", "g_b").mapInArrow(_similar, "a long, b long")
+
+
 def link_names(names: DataFrame) -> DataFrame:
     """``(name, org)`` for a column ``name`` of distinct names: spellings of one organisation share ``org``.
 
     Null names and empty texts without any token are dropped from linking and stay alone. Repeated
     names count once; extra columns are ignored; an empty table gives no rows.
     """
-    spark = names.sparkSession
     base = names.select(F.col("name").cast("string").alias("name")).where(F.col("name").isNotNull()).distinct()
     base = cut(base, "names")
     total = base.count()
-    toks = cut(base.mapInArrow(_tokenized, "toks array<string>"), "name-tokens")
-    frequent = generic_words(toks, total)
-    generics = {t: t for t in frequent if len(t) > 2} | TRADE | LEGAL
+    words = learn_words(cut(base.mapInArrow(_tokenized, "toks array<string>"), "name-tokens"), max(1, total))
 
-    parsed = base.mapInArrow(lambda it: _parsed(it, generics), _NODE)
     # spellings that differ only in what folding removes are one node
-    keyed = cut(parsed.withColumn("node", F.xxhash64(F.array_join("rare", " "), F.lit("|"), F.array_join("trade", " "), F.lit("|"), F.array_join("legal", " "))), "name-nodes")
-    nodes = keyed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("rare", "trade", "legal", "grams"))).where(F.size("rare") > 0)
+    parsed = base.mapInArrow(lambda it: _parsed(it, words), _NODE)
+    keyed = cut(parsed.withColumn("node", F.xxhash64(F.array_join("rare", " "), F.lit("|"), F.array_join("generic", " "))), "name-nodes")
+    nodes = keyed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("rare", "generic", "grams"))).where(F.size("rare") > 0)
     nodes = cut(nodes, "name-node-table")
 
-    # words of either kind as bits: a hash may join two words, which only lets a pair through to the check
-    bits = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(62)).cast("int"))))
-    posted = nodes.select("node", F.size("grams").alias("n"), F.size("rare").alias("words"), bits("trade").alias("tr"), bits("legal").alias("le"), bits(F.split(F.array_join("rare", ""), "")).alias("ch"), F.explode("grams").alias("g"))
-    df = posted.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = posted.join(df, "g").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "g")))
-    need = F.greatest(F.least(F.lit(2), F.col("n")), F.ceil(F.when(F.col("words") == 1, F.lit(SHARED_ONE)).otherwise(F.lit(SHARED)) * F.col("n")).cast("int"))
-    probes = ranked.withColumn("need", need).where(F.col("rank") <= F.col("n") - F.col("need") + 1).select(F.col("node").alias("a"), "g", F.col("n").alias("na"), "need", F.col("tr").alias("tra"), F.col("le").alias("lea"), F.col("ch").alias("cha"))
-    index = posted.select(F.col("node").alias("b"), "g", F.col("n").alias("nb"), F.col("tr").alias("trb"), F.col("le").alias("leb"), F.col("ch").alias("chb"))
-    smaller = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
-    both = F.col("lea").bitwiseAND(F.col("leb"))
-    agree = ((F.col("tra") == 0) | (F.col("trb") == 0) | (F.col("tra").bitwiseAND(F.col("trb")) != 0)) & ((both == F.col("lea")) | (both == F.col("leb")))
-    # an edit brings in one foreign letter at most, an abbreviation none; of like sizes neither has many more
-    slips = F.when(F.col("na") >= 16, 3).otherwise(2)
-    foreign = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
-    letters = (foreign("cha", "chb") <= slips) & ((F.col("nb") > F.col("na") + 3) | (foreign("chb", "cha") <= slips + 1))
-    met = probes.join(index, "g").where(smaller & agree & letters)
-    pairs = met.select("a", "b", "need").distinct()
-    sets = nodes.select(F.col("node"), "rare", "trade", "legal", "grams")
-    left = sets.toDF("a", "rare_a", "trade_a", "legal_a", "grams_a")
-    right = sets.toDF("b", "rare_b", "trade_b", "legal_b", "grams_b")
-    full = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("grams_a", "grams_b")) >= F.col("need"))
-    scored = full.select("a", "b", "rare_a", "trade_a", "legal_a", "rare_b", "trade_b", "legal_b").mapInArrow(
-        lambda it: _verified(it, total), "a long, b long, score double"
-    )
+    sets = nodes.select("node", "rare", "generic")
+    full = candidate_pairs(nodes).join(sets.toDF("a", "rare_a", "generic_a"), "a").join(sets.toDF("b", "rare_b", "generic_b"), "b")
+    scored = full.select("a", "b", "rare_a", "generic_a", "rare_b", "generic_b").mapInArrow(lambda it: _verified(it, words), "a long, b long, score double")
     scored = cut(scored, "name-links")
 
-    sure = scored.where(F.col("score") >= 0.85).select("a", "b")
+    sure = scored.where(F.col("score") >= SURE).select("a", "b")
     ids = nodes.select(F.col("node").alias("id"))
     comp = cut(components(ids, sure, "names"), "name-components")
     # abbreviations: the component whose best score is highest, if it is alone at the top
-    weak = scored.where(F.col("score") < 0.85)
+    weak = scored.where(F.col("score") < SURE)
     one = weak.select(F.col("a").alias("x"), F.col("b").alias("y"), "score").unionByName(weak.select(F.col("b").alias("x"), F.col("a").alias("y"), "score"))
     cx, cy = comp.toDF("x", "comp_x"), comp.toDF("y", "comp_y")
     size = nodes.select(F.col("node"), F.length(F.array_join("rare", "")).alias("letters"))
@@ -389,7 +468,7 @@ def link_names(names: DataFrame) -> DataFrame:
     final = components(comp.select(F.col("comp").alias("id")).distinct(), best, "name-short")
     org = comp.join(final.toDF("comp", "org"), "comp").select(F.col("id").alias("node"), "org")
     # generic words alone: what folds to the same words is one; without any word a name stays alone
-    generic = F.when(F.size("trade") + F.size("legal") > 0, F.xxhash64(F.lit("generic"), "node"))
+    generic = F.when(F.size("generic") > 0, F.xxhash64(F.lit("generic"), "node"))
     named = keyed.select("name", "node", generic.alias("generic")).join(org, "node", "left")
     return named.select("name", F.coalesce("org", "generic", F.xxhash64(F.lit("alone"), "name")).alias("org"))
 

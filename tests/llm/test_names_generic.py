@@ -6,6 +6,7 @@ def test_large_organisations_and_generic_names_are_linked(spark):
     own = [f"Tonkefo{a}Pindo{b}{c}" for a in (" ", ", ", "  ", "-", " - ") for b in (" ", ", ", "  ", " - ") for c in ("Fibre", "FIBRE", "Fbr", "Fiber")]
     syllables = ["ba", "ke", "mi", "lo", "du", "ga", "ze"]
     others = [f"{a}{b}{c}rut Lindaro" for a in syllables for b in syllables for c in ("nax", "vosk")]
+    others = [f"{n} {('Ltd', 'Limited')[k % 2]}" for n in others for k in range(2)]
     alone = ["Internet Exchange Ltd", "INTERNET EXCHANGE LTD", "Internet Exchange Limited"]
     names = own + others + alone + ["", "—"]
     org = {r.name: r.org for r in link_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
