@@ -1,8 +1,8 @@
 """Addresses and prefixes as integers.
 
-IPv4-only plans use one BIGINT. Plans that hold both families use ``(fam, hi, lo, len)``: the
-128 address bits as two signed longs, an IPv4 address left-aligned in ``hi``. Masking, ordering
-of lengths and equi-joins then read the same for both families.
+A network is ``net``, a struct ``(fam, hi, lo)``: family 4 or 6 and the 128 address bits as two
+signed longs, an IPv4 address left-aligned in ``hi``. Masking, grouping and equi-joins then read the same
+for both families. Numbers of delegations, which only IPv4 counts one by one, are a single BIGINT.
 """
 
 from __future__ import annotations
@@ -35,8 +35,39 @@ def long_to_ipv4(net) -> Column:
     return F.concat_ws(".", *(F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)))
 
 
+def net4(n) -> Column:
+    """The network of an IPv4 address held as BIGINT."""
+    return F.struct(F.lit(4).alias("fam"), F.call_function("shiftleft", _c(n), F.lit(32)).alias("hi"), F.lit(0).cast("long").alias("lo"))
+
+
+def net_hex(net) -> Column:
+    """The address bits of a network as 8 (IPv4) or 32 (IPv6) hexadecimal digits."""
+    n = _c(net)
+    hi, lo = F.lpad(F.hex(n["hi"]), 16, "0"), F.lpad(F.hex(n["lo"]), 16, "0")
+    return F.lower(F.when(n["fam"] == 4, F.substr(hi, F.lit(1), F.lit(8))).otherwise(F.concat(hi, lo)))
+
+
+def long_to_ipv6(hi, lo) -> Column:
+    """Canonical text: lower case, no leading zeros, the first of the longest runs of zero groups as ``::``."""
+    group = lambda n, s: F.lower(F.hex(F.call_function("shiftrightunsigned", _c(n), F.lit(s)).bitwiseAND(F.lit(0xFFFF).cast("long"))))
+    text = F.concat(F.lit(":"), F.concat_ws(":", *(group(n, s) for n in (hi, lo) for s in (48, 32, 16, 0))), F.lit(":"))
+    out = F.substr(text, F.lit(2), F.length(text) - 2)
+    for k in range(2, 9):
+        zeros = ":0" * k + ":"
+        at = F.instr(text, zeros)
+        short = F.concat(F.substr(text, F.lit(2), F.greatest(F.lit(0), at - 2)), F.lit("::"), F.substr(text, at + len(zeros), F.greatest(F.lit(0), F.length(text) - at - len(zeros))))
+        out = F.when(at > 0, short).otherwise(out)
+    return out
+
+
+def address_text(net) -> Column:
+    n = _c(net)
+    return F.when(n["fam"] == 4, long_to_ipv4(F.call_function("shiftrightunsigned", n["hi"], F.lit(32)))).otherwise(long_to_ipv6(n["hi"], n["lo"]))
+
+
 def prefix_text(net, length) -> Column:
-    return F.concat_ws("/", long_to_ipv4(net), _c(length).cast("string"))
+    """``addr/len`` of a network."""
+    return F.concat_ws("/", address_text(net), _c(length).cast("string"))
 
 
 def mask4(net, length) -> Column:
@@ -50,8 +81,9 @@ def num_addresses(length) -> Column:
 
 
 def bit_text(net, length) -> Column:
-    """First ``length`` bits of an IPv4 address as text."""
-    return F.substr(F.lpad(F.bin(_c(net)), 32, "0"), F.lit(1), _c(length))
+    """First ``length`` bits of a network as text."""
+    n = _c(net)
+    return F.substr(F.concat(F.lpad(F.bin(n["hi"]), 64, "0"), F.lpad(F.bin(n["lo"]), 64, "0")), F.lit(1), _c(length))
 
 
 def common_prefix_len(a, b) -> Column:
@@ -71,26 +103,27 @@ def asn_to_long(text) -> Column:
 def with_prefix(df: DataFrame, prefix: str) -> DataFrame:
     """Add ``fam, hi, lo, len`` of an ``addr/len`` column of either family; rows that are no prefix go.
 
-    Host bits are kept; use :func:`mask_bits` to clear them. Staged columns, so that each part is
-    computed once a row.
+    Host bits are kept; use :func:`mask_bits` to clear them. IPv4 takes no lambdas; staged columns, so
+    that each part is computed once a row.
     """
     part = lambda n: f"filter(split(split_part(_addr, '::', {n}), ':'), x -> x <> '')"
     staged = df.withColumns({"_addr": F.split_part(F.col(prefix), F.lit("/"), F.lit(1)), "len": F.split_part(F.col(prefix), F.lit("/"), F.lit(2)).try_cast("int")})
-    staged = staged.withColumn("fam", F.expr("CASE WHEN contains(_addr, ':') THEN 6 ELSE 4 END"))
-    staged = staged.withColumns(
-        {
-            "_left": F.expr(f"CASE WHEN fam = 6 THEN {part(1)} ELSE split(_addr, '[.]') END"),
-            "_right": F.expr(f"CASE WHEN fam = 6 AND contains(_addr, '::') THEN {part(2)} ELSE CAST(array() AS array<string>) END"),
-        }
-    )
-    v6 = "array_join(transform(concat(_left, array_repeat('0', greatest(0, 8 - size(_left) - size(_right))), _right), x -> lpad(x, 4, '0')), '')"
-    v4 = "rpad(array_join(transform(_left, x -> lpad(hex(try_cast(x AS int)), 2, '0')), ''), 32, '0')"
-    good4 = r"_addr rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$' AND forall(_left, x -> try_cast(x AS int) <= 255) AND len <= 32"
-    good6 = r"_addr rlike '^[0-9A-Fa-f:]+$' AND len <= 128"
-    staged = staged.withColumn("_hex", F.expr(f"CASE WHEN fam = 6 AND {good6} THEN {v6} WHEN fam = 4 AND {good4} THEN {v4} END"))
-    staged = staged.where((F.length("_hex") == 32) & (F.col("len") >= 0))
+    staged = staged.withColumns({"fam": F.expr("CASE WHEN contains(_addr, ':') THEN 6 ELSE 4 END"), "_v4": ipv4_to_long("_addr")})
+    right = f"CASE WHEN contains(_addr, '::') THEN {part(2)} ELSE CAST(array() AS array<string>) END"
+    filled = f"array_repeat('0', greatest(0, 8 - size({part(1)}) - size({right})))"
+    v6 = f"array_join(transform(concat({part(1)}, {filled}, {right}), x -> lpad(x, 4, '0')), '')"
+    staged = staged.withColumn("_hex", F.expr(f"CASE WHEN fam = 6 AND _addr rlike '^[0-9A-Fa-f:]+$' AND len <= 128 THEN {v6} END"))
+    staged = staged.where((F.col("len") >= 0) & ((F.col("_v4").isNotNull() & (F.col("len") <= 32)) | (F.length("_hex") == 32)))
     half = lambda start: F.expr(f"try_cast(conv(substr(_hex, {start}, 16), 16, -10) AS bigint)")
-    return staged.withColumns({"hi": half(1), "lo": half(17)}).drop("_addr", "_left", "_right", "_hex")
+    four = F.col("fam") == 4
+    hi = F.when(four, F.call_function("shiftleft", F.col("_v4"), F.lit(32))).otherwise(half(1))
+    return staged.withColumns({"hi": hi, "lo": F.when(four, F.lit(0).cast("long")).otherwise(half(17))}).drop("_addr", "_v4", "_hex")
+
+
+def with_net(df: DataFrame, prefix: str) -> DataFrame:
+    """Add ``net`` and ``len`` of an ``addr/len`` column of either family; rows that are no prefix go."""
+    other = [c for c in df.columns if c not in ("net", "len")]
+    return with_prefix(df.select(*other), prefix).select(*other, F.struct("fam", "hi", "lo").alias("net"), "len")
 
 
 def mask_bits(hi, lo, length) -> tuple[Column, Column]:

@@ -25,23 +25,33 @@ def cidr_blocks(df: DataFrame, start: str, count: str) -> DataFrame:
     return block.withColumns({"net": F.call_function("shiftleft", F.col("_block"), F.col("_k")), "len": (F.lit(32) - F.col("_k")).cast("int")}).drop("_k", "_lo", "_hi", "_block")
 
 
-def covered_addresses(df: DataFrame, keys: list[str], shards: int = 256) -> DataFrame:
-    """``keys, num_ip``: distinct IPv4 addresses covered by prefixes ``(net, len)``.
+def covered_space(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, family, num_ip``: IPv4 addresses and IPv6 networks of length 64 that prefixes ``(net, len)`` cover.
 
-    The address space is cut into ``shards`` equal parts and prefixes wider than one are split along
-    them, so the running maximum of each key sorts its parts separately; sums over parts are exact.
-    Repeated and nested prefixes count once.
+    The space of each family is cut into equal parts (/12, /20) and wider prefixes are split along
+    them, so the running maximum of each key sorts its parts separately; sums over parts are exact. Repeated
+    and nested prefixes count once. Half of all IPv6 space, 2^63, is too much for a sum.
     """
-    bits = shards.bit_length() - 1
-    width = 2 ** (32 - bits)
-    base = df.select(*keys, "net", "len").distinct()
-    wide = F.when(F.col("len") < bits, F.sequence(F.col("net"), F.col("net") + F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(32) - F.col("len")) - 1, F.lit(width).cast("long")))
-    pieces = base.withColumn("s", F.explode(F.coalesce(wide, F.array("net")))).withColumn("l", F.greatest("len", F.lit(bits)))
-    spans = pieces.select(*keys, "s", (F.col("s") + F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(32) - F.col("l"))).alias("e"), F.expr(f"s div {width}").alias("shard"))
+    h, four = F.col("net.hi"), F.col("net.fam") == 4
+    base = df.select(*keys, "net", "len").where(F.col("net").isNotNull() & F.col("len").isNotNull()).distinct()
+    bits = F.col("len") + F.when(four, 32).otherwise(0)
+    beyond = F.when(bits < 64, F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), bits)).otherwise(F.lit(0).cast("long"))
+    # IPv4 as its number, IPv6 with the sign turned, so that signed order is the order of addresses
+    sign = F.lit(-(2**63)).cast("long")
+    s = F.when(four, F.call_function("shiftrightunsigned", h, F.lit(32))).otherwise(h.bitwiseXOR(sign))
+    last = F.when(four, F.call_function("shiftrightunsigned", h, F.lit(32)).bitwiseOR(beyond)).otherwise(h.bitwiseOR(beyond).bitwiseXOR(sign))
+    step = F.when(four, F.lit(2**20).cast("long")).otherwise(F.lit(2**44).cast("long"))
+    spans = base.select(*keys, F.col("net.fam").alias("family"), "len", s.alias("s"), last.alias("last"), step.alias("step"))
+    four = F.col("family") == 4
+    wide = F.when(F.col("len") < F.when(four, 12).otherwise(20), F.sequence("s", "last", "step"))
+    pieces = spans.select(*keys, "family", "last", "step", F.explode(F.coalesce(wide, F.array("s"))).alias("s"))
+    shard = F.call_function("shiftright", F.col("s"), F.when(four, 20).otherwise(44))
+    pieces = pieces.withColumn("shard", shard).withColumn("last", F.least("last", F.col("s").bitwiseOR(F.col("step") - 1)))
     # prefixes nest or are disjoint, so one running maximum per part is enough
-    before = Window.partitionBy(*keys, "shard").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.greatest(F.lit(0).cast("long"), F.col("e") - F.greatest(F.col("s"), F.coalesce(F.max("e").over(before), F.col("s"))))
-    return spans.withColumn("fresh", fresh).groupBy(*keys).agg(F.sum("fresh").alias("num_ip"))
+    before = F.max("last").over(Window.partitionBy(*keys, "family", "shard").orderBy("s", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1))
+    reach = pieces.withColumn("reach", before)
+    fresh = F.when(F.col("reach").isNull() | (F.col("reach") < F.col("s")), F.col("last") - F.col("s") + 1).otherwise(F.greatest(F.lit(0).cast("long"), F.col("last") - F.col("reach")))
+    return reach.withColumn("fresh", fresh).groupBy(*keys, "family").agg(F.sum("fresh").alias("num_ip"))
 
 
 def number_ranges(df: DataFrame, start: str, count: str, name: str) -> DataFrame:

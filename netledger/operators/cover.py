@@ -1,69 +1,53 @@
 """Prefix containment as an equi-join.
 
 A probe prefix is contained in a dimension prefix iff masking the probe to the dimension's length
-gives the dimension's network. So each probe is spread over the lengths that occur in the
-dimension (at most 33 per IPv4 and 129 per IPv6 table, hence always broadcastable) and joined on
-the masked network. Spark then plans a hash join; there is no range predicate.
+gives the dimension's network. So each probe is spread over the lengths of its family that occur in the
+dimension (at most 33 for IPv4 and 129 for IPv6, hence always broadcastable) and joined on
+the masked network. Spark then plans a hash join; there is no range predicate. Both families go
+through the one join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netledger.functions.ip import mask4, mask_bits
+from netledger.functions.ip import mask_bits
 
+#: Dimension prefixes up to this number are broadcast, some 10 MB.
+SMALL_DIM = 100_000
 
-def cover_join(probe: DataFrame, dim: DataFrame, on: Sequence[str] = (), *, how: str = "inner", distinct: bool = True) -> DataFrame:
-    """IPv4 probes ``(net, len, ...)`` with every dimension prefix that contains them.
 
-    Dimension columns other than ``on`` come out prefixed ``c_``. Prefixes of length 0 never match
-    and repeated dimension rows count once. ``how`` is ``inner`` or ``left``. Null networks or
-    lengths never match.
+def cover_join(probe: DataFrame, dim: DataFrame, on: Sequence[str] = (), *, how: str = "inner", distinct: bool = True, default_route: bool = False, measured: bool = False) -> DataFrame:
+    """Probes ``(net, len, ...)`` with every dimension prefix of their family that contains them.
+
+    Dimension columns other than ``on`` come out prefixed ``c_``. Prefixes of length 0 match nothing, or
+    with ``default_route`` all of their family, and repeated dimension rows count once (``distinct``).
+    ``how`` is ``inner`` or ``left``. Null networks or lengths never match. ``measured`` counts the
+    dimension first and broadcasts it if it has at most ``SMALL_DIM`` rows.
     """
     if distinct:
         dim = dim.distinct()
-    dim = dim.where((F.col("len") > 0) & F.col("net").isNotNull())
-    lens = dim.select(F.col("len").alias("_clen")).distinct()
+    dim = dim.where((F.col("len") >= (0 if default_route else 1)) & F.col("net").isNotNull())
+    lens = dim.select(F.col("net.fam").alias("_fam"), F.col("len").alias("_clen")).distinct()
     d = dim.select(*[F.col(c).alias(f"_on_{c}" if c in on else f"c_{c}") for c in dim.columns])
-    spread = probe.join(F.broadcast(lens), F.col("_clen") <= F.col("len"), "inner").withColumn("_cnet", mask4("net", "_clen"))
-    cond = (F.col("_cnet") == F.col("c_net")) & (F.col("_clen") == F.col("c_len"))
+    none = F.lit(0).cast("long")
+    clear = lambda net, n: [F.when(F.col(n) == 0, none).otherwise(x) for x in mask_bits(F.col(f"{net}.hi"), F.col(f"{net}.lo"), n)]
+    hi, lo = clear("c_net", "c_len")
+    d = d.withColumns({"_dfam": F.col("c_net.fam"), "_dhi": hi, "_dlo": lo})
+    if measured and dim.limit(SMALL_DIM + 1).count() <= SMALL_DIM:
+        d = F.broadcast(d)
+    spread = probe.join(F.broadcast(lens), (F.col("net.fam") == F.col("_fam")) & (F.col("_clen") <= F.col("len")), "inner")
+    hi, lo = clear("net", "_clen")
+    spread = spread.withColumns({"_hi": hi, "_lo": lo})
+    cond: Column = (F.col("_hi") == F.col("_dhi")) & (F.col("_lo") == F.col("_dlo")) & (F.col("_clen") == F.col("c_len")) & (F.col("_fam") == F.col("_dfam"))
     for c in on:
         cond &= F.col(c) == F.col(f"_on_{c}")
-    hits = spread.join(d, cond, "inner").drop("_cnet", "_clen", *[f"_on_{c}" for c in on])
+    hits = spread.join(d, cond, "inner").drop("_fam", "_hi", "_lo", "_clen", "_dfam", "_dhi", "_dlo", *[f"_on_{c}" for c in on])
     if how == "inner":
         return hits
     ids = probe.columns
-    missing = probe.join(hits.select(*ids).distinct(), [probe[c].eqNullSafe(hits[c]) for c in ids], "left_anti")
-    return hits.unionByName(missing, allowMissingColumns=True)
-
-
-def cover_join_any(probe: DataFrame, dim: DataFrame) -> DataFrame:
-    """Inner containment join over both families.
-
-    Both sides carry ``fam, hi, lo, len``; the dimension's other columns come out as they are, so
-    names must not clash. Length 0 covers everything of its family here.
-    """
-    lens = dim.select(F.col("fam").alias("_fam"), F.col("len").alias("_clen")).distinct()
-    spread = probe.join(F.broadcast(lens), (F.col("fam") == F.col("_fam")) & (F.col("_clen") <= F.col("len")))
-    zero = F.lit(0).cast("long")
-    hi, lo = mask_bits("hi", "lo", "_clen")
-    spread = spread.withColumns({"_chi": F.when(F.col("_clen") == 0, zero).otherwise(hi), "_clo": F.when(F.col("_clen") == 0, zero).otherwise(lo)}).drop("_fam")
-    dhi, dlo = mask_bits("hi", "lo", "len")
-    other = [c for c in dim.columns if c not in ("fam", "hi", "lo", "len")]
-    d = dim.select(
-        F.col("fam").alias("d_fam"),
-        F.when(F.col("len") == 0, zero).otherwise(dhi).alias("d_hi"),
-        F.when(F.col("len") == 0, zero).otherwise(dlo).alias("d_lo"),
-        F.col("len").alias("d_len"),
-        *other,
-    )
-    cond = (F.col("fam") == F.col("d_fam")) & (F.col("_clen") == F.col("d_len")) & (F.col("_chi") == F.col("d_hi")) & (F.col("_clo") == F.col("d_lo"))
-    return spread.join(d, cond).drop("_chi", "_clo", "_clen", "d_fam", "d_hi", "d_lo")
-
-
-def cover_flags(probe: DataFrame, dim: DataFrame, on: Sequence[str], aggs: dict[str, F.Column], keys: Sequence[str]) -> DataFrame:
-    """Aggregates over the covering records of each probe key; only covered probes appear."""
-    return cover_join(probe, dim, on).groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
+    found = hits.select(*[F.col(c).alias(f"_f_{c}") for c in ids], *[c for c in hits.columns if c not in ids])
+    return probe.join(found, [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in ids], "left").drop(*[f"_f_{c}" for c in ids])

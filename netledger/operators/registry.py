@@ -15,14 +15,12 @@ RELATIONS = ("same", "sameISP", "customer-provider", "peering", "ddos", "none")
 
 def validate_origin(routes: DataFrame, payloads: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``validation``: valid if a covering payload has the origin and allows the length,
-    invalid if payloads cover but none matches, unknown if none covers. Only covered keys are
-    aggregated; one row per distinct key of ``routes`` comes out."""
+    invalid if payloads cover but none matches, unknown if none covers. One row per distinct key of ``routes`` comes out."""
     hit = (F.col("origin") == F.col("c_origin")) & (F.col("len") <= F.col("c_max_len"))
-    seen = cover_join(routes, payloads.select("date", "net", "len", "origin", "max_len"), ["date"]).groupBy(*keys).agg(F.max(F.coalesce(hit, F.lit(False))).alias("hit"))
-    base = routes.select(*keys).distinct()
-    joined = base.join(seen.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    hits = cover_join(routes.select(*keys).distinct(), payloads.select("date", "net", "len", "origin", "max_len"), ["date"], how="left")
+    per = hits.groupBy(*keys).agg(F.max(F.when(F.col("c_len").isNotNull(), F.coalesce(hit, F.lit(False)))).alias("hit"))
     state = F.when(F.col("hit"), "valid").when(~F.col("hit"), "invalid").otherwise("unknown")
-    return joined.select(*keys, state.alias("validation"))
+    return per.select(*keys, state.alias("validation"))
 
 
 def attribute_rir(routes: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,13 +52,25 @@ def relation_of(rank: Column) -> Column:
     return F.coalesce(*[F.when(rank == i, F.lit(r)) for i, r in enumerate(RELATIONS)])
 
 
-def sum_relations(routes: DataFrame, payloads: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, sum_rel``: the most telling relation of a route to the payloads that cover it and allow its
-    length; ``not-covered`` if there is none. Null organisations equal nothing."""
-    pairs = cover_join(routes, payloads.select("date", "net", "len", "origin", "max_len", "isp"), ["date"]).where(F.col("len") <= F.col("c_max_len"))
+def _ranked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``_rank``: place of the relation of a route and a covering payload."""
     e = edges.select(F.col("as1").alias("e1"), F.col("as2").alias("e2"), "rel")
     met = pairs.join(e, (F.col("origin") == F.col("e1")) & (F.col("c_origin") == F.col("e2")), "left")
-    rank = rank_of(relationship(F.col("origin"), F.col("c_origin"), F.col("isp"), F.col("c_isp"), F.col("rel")))
-    best = met.groupBy(*keys).agg(F.min(rank).alias("rank")).withColumnsRenamed({k: f"_{k}" for k in keys})
-    base = routes.select(*keys).distinct().join(best, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
-    return base.select(*keys, F.coalesce(relation_of(F.col("rank")), F.lit("not-covered")).alias("sum_rel"))
+    return met.withColumn("_rank", rank_of(relationship(F.col("origin"), F.col("c_origin"), F.col("isp"), F.col("c_isp"), F.col("rel"))))
+
+
+def validated_relations(routes: DataFrame, payloads: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, validation, sum_rel`` of one pass over the payloads that cover each route.
+
+    Validity as in :func:`validate_origin`; ``sum_rel`` is the most telling relation to the payloads that
+    also allow the length, ``not-covered`` if there is none. Null organisations equal nothing. One row per
+    distinct key; routes that nothing covers take part in no join but the first.
+    """
+    base = routes.select(*keys).distinct()
+    pairs = cover_join(base, payloads.select("date", "net", "len", "origin", "max_len", "isp"), ["date"], how="left")
+    fits = F.col("len") <= F.col("c_max_len")
+    per = _ranked(pairs, edges).groupBy(*keys).agg(
+        F.max(F.col("c_len").isNotNull()).alias("covered"), F.max(F.coalesce(fits & (F.col("origin") == F.col("c_origin")), F.lit(False))).alias("hit"), F.min(F.when(fits, F.col("_rank"))).alias("rank")
+    )
+    state = F.when(~F.col("covered"), "unknown").when(F.col("hit"), "valid").otherwise("invalid")
+    return per.select(*keys, state.alias("validation"), F.coalesce(relation_of(F.col("rank")), F.lit("not-covered")).alias("sum_rel"))

@@ -53,9 +53,9 @@ def pr_curve(df: DataFrame, label: str, score: str, cells: int = 1024) -> DataFr
     steps = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n")
     )
-    ends = steps.agg(F.min("threshold").alias("_lo"), F.max("threshold").alias("_hi"))  # one row
-    place = F.floor(F.coalesce(F.try_divide(F.col("threshold") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * (cells - 1))
-    placed = steps.join(F.broadcast(ends)).withColumn("_cell", place).drop("_lo", "_hi")
+    ends = steps.agg(F.struct(F.min("threshold").alias("lo"), F.max("threshold").alias("hi"))).scalar()
+    place = F.floor(F.coalesce(F.try_divide(F.col("threshold") - F.col("_ends.lo"), F.col("_ends.hi") - F.col("_ends.lo")), F.lit(0.0)) * (cells - 1))
+    placed = steps.withColumn("_ends", ends).withColumn("_cell", place).drop("_ends")
     sums = placed.groupBy("_cell").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # one row a cell
     above = Window.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("_cell", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"), F.sum("_p").over(Window.partitionBy(F.lit(0))).alias("pos"))

@@ -1,7 +1,7 @@
 """Per-key results when a handful of keys hold most of the rows.
 
 Heavy keys are found with a mergeable frequent-items sketch, so detection shuffles one small
-sketch per partition. Their number is bounded by the sketch's ``k``, so the list of heavy keys
+sketch per partition. Their number is bounded by the share asked for, so the list of heavy keys
 can always be broadcast. Rows of heavy keys take a salted path, the rest the ordinary shuffle,
 and both are united.
 """
@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 
 #: Items the sketch tracks; its error is at most 3.5 / this share of the rows.
 SKETCH_ITEMS = 4096
-MAX_HEAVY = 512
 
 
 def heavy_hitters(df: DataFrame, key: str, *, share: float = 0.01, weight_floor: int = 0) -> DataFrame:
-    """Keys that may hold at least ``share`` of all rows: ``(key, est_rows)``, at most ``MAX_HEAVY``.
+    """Keys that may hold at least ``share`` of all rows: ``(key, est_rows)``, fewer than ``2 / share``.
 
     The sketch never misses such a key as long as ``share`` exceeds twice its error, checked here;
     a few lighter keys may come along, which does no harm since callers count exactly.
@@ -27,7 +26,7 @@ def heavy_hitters(df: DataFrame, key: str, *, share: float = 0.01, weight_floor:
     """
     if not 2 * 3.5 / SKETCH_ITEMS <= share <= 1:
         raise ValueError("share is outside what the sketch can tell apart")
-    k = min(MAX_HEAVY, int(2 / share) + 1)
+    k = int(2 / share) + 1  # a key so found has half the share at least, as the error is below that
     counted = df.select(F.col(key).alias("__k")).agg(
         F.expr(f"approx_top_k(__k, {k}, {SKETCH_ITEMS})").alias("__top"), F.count(F.lit(1)).alias("__n")
     )
@@ -79,7 +78,6 @@ def per_key_profile(
 
 def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """Keys holding at least ``share`` of all rows, null-key rows included in the total: ``(key, n_rows)``."""
-    total = df.agg(F.count(F.lit(1)).alias("__total"))  # one row
-    counts = per_key_profile(df, key, share=share / 2, count_name="__rows")
-    heavy = counts.join(F.broadcast(total)).where(F.col("__rows") >= F.col("__total") * share)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    heavy = per_key_profile(df, key, share=share / 2, count_name="__rows").where(F.col("__rows") >= total * share)
     return heavy.select(F.col(key), F.col("__rows").alias("n_rows"))

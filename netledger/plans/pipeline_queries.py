@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netledger.functions.ip import with_prefix
+from netledger.functions.ip import with_net
 from netledger.operators import intervals as iv
-from netledger.operators.cover import cover_join_any
+from netledger.operators.cover import cover_join
 from netledger.operators.event_time import attributes_as_of, change_history
 from netledger.operators.skew import heavy_keys, per_key_profile
 from netledger.operators.snapshot_diff import snapshot_changes
+from netledger.plans.inputs import bits_of_hex, hex_text
 from netledger.session import cut, micros, micros_text, table
 from netledger.sources.roa_lines import parse_roa_lines
 
@@ -55,10 +56,11 @@ def _validation_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rec_id", day("date").alias("at_valid"), micros("scored_at").alias("at_known"), "prefix", F.col("origin").alias("rec_origin"), F.col("validation").alias("written")
     ).distinct()
     vrp = table(spark, sf_dir, "vrp")
-    roas = vrp.select("uri", F.concat_ws("/", "prefix_addr", F.col("prefix_len").cast("string")).alias("p"), F.col("prefix_len").alias("roa_len")).distinct()
-    roas = with_prefix(roas, "p").drop("p")
-    probes = with_prefix(scored.drop("written"), "prefix").drop("prefix")
-    candidates = cover_join_any(probes, roas).select("rec_id", "at_valid", "at_known", "rec_origin", F.col("len").alias("rec_len"), "uri", "roa_len")
+    roas = vrp.select("uri", F.concat_ws("/", "prefix_addr", F.col("prefix_len").cast("string")).alias("p")).distinct()
+    roas = with_net(roas, "p").select("uri", "net", "len")
+    probes = with_net(scored.drop("written"), "prefix").drop("prefix")
+    candidates = cover_join(probes, roas, default_route=True, measured=True)
+    candidates = candidates.select("rec_id", "at_valid", "at_known", "rec_origin", F.col("len").alias("rec_len"), F.col("c_uri").alias("uri"), F.col("c_len").alias("roa_len"))
     candidates = cut(candidates, "as-of-candidates")  # read twice: for hot keys and for the match
     histories = {
         "vrp_origin": change_history(vrp, "uri", day("date"), micros("known_at"), "origin", "vrp_origin"),
@@ -126,18 +128,8 @@ _SPANS = f"""spans AS (SELECT nlri AS e, epoch_us(ts) AS lo, epoch_us(coalesce(t
   FROM bgp_update WHERE nlri IS NOT NULL AND coalesce(ts_end, TIMESTAMP '{COLLECTION_END}') > ts),
 offs AS (SELECT DISTINCT CAST(feat_id AS VARCHAR) AS e, d FROM (SELECT feat_id, unnest(updays) AS d FROM bgp_feature) WHERE d BETWEEN 0 AND 364)"""
 
-_NIBBLES = "0000000100100011010001010110011110001001101010111100110111101111"
-
-
 def _bits(addr: str) -> str:
-    """DuckDB text: the bits of an address of either family, as text; independent of the engine's form."""
-    groups = f"list_filter(string_split(split_part({addr}, '::', PART), ':'), lambda x: x <> '')"
-    left, right = groups.replace("PART", "1"), f"CASE WHEN contains({addr}, '::') THEN {groups.replace('PART', '2')} ELSE CAST([] AS VARCHAR[]) END"
-    full = f"list_concat(list_concat({left}, list_transform(range(greatest(0, 8 - len({left}) - len({right}))), lambda i: '0')), {right})"
-    hex6 = f"list_transform({full}, lambda x: lpad(lower(x), 4, '0'))"
-    hex4 = f"list_transform(string_split({addr}, '.'), lambda x: format('{{:02x}}', TRY_CAST(x AS INT)))"
-    hexed = f"array_to_string(CASE WHEN contains({addr}, ':') THEN {hex6} ELSE {hex4} END, '')"
-    return f"array_to_string(list_transform(string_split({hexed}, ''), lambda c: substr('{_NIBBLES}', 4 * instr('0123456789abcdef', c) - 3, 4)), '')"
+    return bits_of_hex(hex_text(addr))
 
 
 _AS_OF = f"""rec AS (SELECT *, {_bits("split_part(prefix, '/', 1)")} AS b, CAST(split_part(prefix, '/', 2) AS INT) AS plen

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netledger.functions.ip import asn_to_long, bit_text, common_prefix_len, ipv4_to_long, long_to_ipv4, mask4, num_addresses, prefix_text
+from netledger.functions.ip import asn_to_long, bit_text, common_prefix_len, ipv4_to_long, long_to_ipv4, mask4, net_hex, num_addresses, prefix_text
 from netledger.operators.activity import metric_stats, month_bitmaps, run_metrics, wide_features
 from netledger.operators.asof import int_day, nearest_snapshot, substitute_days
-from netledger.operators.blocks import cidr_blocks, covered_addresses, number_ranges
+from netledger.operators.blocks import cidr_blocks, covered_space, number_ranges
 from netledger.operators.cover import cover_join
 from netledger.operators.registry import attribute_rir, validate_origin
 from netledger.operators.scoring import kept, rejection_loss, softplus, y_pred, y_true
@@ -22,20 +22,31 @@ from netledger.sources.transfers import parse_transfers
 SNAPSHOT = 20230331
 
 
+def _net() -> F.Column:
+    return net_hex("net").alias("net")
+
+
 def p_filter_ipv4_24(s: SparkSession, d: str) -> DataFrame:
-    return inp.bgp(s, d).where(F.col("len") <= 24).select("date", "net", "len", F.array_join(F.transform("origins", lambda x: x.cast("string")), "|").alias("origins"), "total_cnt")
+    """Announcements of IPv4 no longer than /24."""
+    b = inp.bgp(s, d).where((F.col("net.fam") == 4) & inp.not_too_specific())
+    return b.select("date", _net(), "len", F.array_join(F.transform("origins", lambda x: x.cast("string")), "|").alias("origins"), "total_cnt")
+
+
+def p_filter_too_specific(s: SparkSession, d: str) -> DataFrame:
+    """Announcements of either family that are not too long to count."""
+    return inp.bgp(s, d).where(inp.not_too_specific()).select("date", _net(), "len", F.array_join(F.transform("origins", lambda x: x.cast("string")), "|").alias("origins"), "total_cnt")
 
 
 def p_irr_trycast(s: SparkSession, d: str) -> DataFrame:
-    return inp.irr(s, d).where(F.col("changed").isNotNull()).select("date", "net", "len", "origin", "source", "changed")
+    return inp.irr(s, d).where(F.col("changed").isNotNull()).select("date", _net(), "len", "origin", "source", "changed")
 
 
 def p_moas_split(s: SparkSession, d: str) -> DataFrame:
-    return inp.bgp(s, d).select("date", "net", "len", F.explode("origins").alias("origin"), "total_cnt")
+    return inp.bgp(s, d).select("date", _net(), "len", F.explode("origins").alias("origin"), "total_cnt")
 
 
 def p_single_origin(s: SparkSession, d: str) -> DataFrame:
-    return comp.routed_single(s, d)
+    return inp.shown(comp.routed_single(s, d))
 
 
 def p_record_type(s: SparkSession, d: str) -> DataFrame:
@@ -49,7 +60,7 @@ def p_reject_filter(s: SparkSession, d: str) -> DataFrame:
 
 
 def p_prediction_filter(s: SparkSession, d: str) -> DataFrame:
-    return inp.scored(s, d).where((F.col("record_type") != "inactive") & (F.col("validation") == "unknown")).select("idx", "net", "len", "origin")
+    return inp.scored(s, d).where((F.col("record_type") != "inactive") & (F.col("validation") == "unknown")).select("idx", _net(), "len", "origin")
 
 
 def p_active_origins(s: SparkSession, d: str) -> DataFrame:
@@ -59,8 +70,8 @@ def p_active_origins(s: SparkSession, d: str) -> DataFrame:
 
 
 def p_replicate_totals(s: SparkSession, d: str) -> DataFrame:
-    names = s.createDataFrame([(x,) for x in (*comp.SOURCES, comp.ALL)], "source string")
-    return inp.vrp(s, d).groupBy("date").agg(F.count(F.lit(1)).alias("total")).join(F.broadcast(names))
+    totals = inp.vrp(s, d).groupBy("date").agg(F.count(F.lit(1)).alias("total"))
+    return totals.withColumn("source", F.explode(F.array(*map(F.lit, (*comp.SOURCES, comp.ALL)))))
 
 
 def f_prefix_text(s: SparkSession, d: str) -> DataFrame:
@@ -72,7 +83,7 @@ def f_num_ip(s: SparkSession, d: str) -> DataFrame:
 
 
 def f_binary_prefix(s: SparkSession, d: str) -> DataFrame:
-    return inp.irr(s, d).select("net", "len").distinct().select("net", "len", bit_text("net", "len").alias("bits"))
+    return inp.irr(s, d).select("net", "len").distinct().select(_net(), "len", bit_text("net", "len").alias("bits"))
 
 
 def f_common_prefix(s: SparkSession, d: str) -> DataFrame:
@@ -92,7 +103,7 @@ def f_asn_expand(s: SparkSession, d: str) -> DataFrame:
 def f_date_diff(s: SparkSession, d: str) -> DataFrame:
     """Days since the last change; -1 without a date, -2 if it is none."""
     days = F.lit(0) + int_day(F.lit(SNAPSHOT)) - int_day("changed")
-    return inp.irr(s, d).select("date", "source", "net", "len", "origin", F.when(F.col("changed").isNull(), -1).otherwise(F.coalesce(days, F.lit(-2))).alias("age"))
+    return inp.irr(s, d).select("date", "source", _net(), "len", "origin", F.when(F.col("changed").isNull(), -1).otherwise(F.coalesce(days, F.lit(-2))).alias("age"))
 
 
 def f_softmax(s: SparkSession, d: str) -> DataFrame:
@@ -140,22 +151,22 @@ def f_date_list(s: SparkSession, d: str) -> DataFrame:
 def j_cover(s: SparkSession, d: str) -> DataFrame:
     dim = inp.vrp(s, d).select("date", "net", "len", "max_len", "origin").distinct()
     h = cover_join(inp.bgp(s, d).select("date", "net", "len").distinct(), dim, ["date"], distinct=False)
-    return h.select("date", "net", "len", "c_net", "c_len", "c_max_len", "c_origin")
+    return inp.shown(h.select("date", "net", "len", "c_net", "c_len", "c_max_len", "c_origin"))
 
 
 def j_validate(s: SparkSession, d: str) -> DataFrame:
-    return comp.validated_routes(s, d)
+    return inp.shown(comp.validated_routes(s, d))
 
 
 def j_rir_attribution(s: SparkSession, d: str) -> DataFrame:
-    blocks = cidr_blocks(inp.derived(s, d, "nro_block"), "start_ip", "num_ip").select("date", "net", "len", "rir")
-    return attribute_rir(inp.bgp(s, d), blocks, ["date", "net", "len"])
+    return inp.shown(attribute_rir(inp.bgp(s, d), inp.delegated(s, d), ["date", "net", "len"]))
 
 
 def j_as_org(s: SparkSession, d: str) -> DataFrame:
-    orgs = inp.derived(s, d, "as_org").where(F.col("snapshot") == 20230101)
-    r = inp.irr(s, d).select("origin").distinct()
-    return r.join(orgs, r.origin == orgs.asn, "left").select("origin", F.coalesce("org", F.lit("")).alias("org"), F.coalesce("country", F.lit("")).alias("country"))
+    """Origins of each snapshot day with the organisation of the nearest list."""
+    r = inp.irr(s, d).select("date", "origin").distinct()
+    orgs = comp.as_org_at(s, d, r.select("date")).withColumnRenamed("asn", "origin")
+    return r.join(orgs, ["date", "origin"], "left").select("date", "origin", F.coalesce("org", F.lit("")).alias("org"), F.coalesce("country", F.lit("")).alias("country"))
 
 
 def j_nearest_snapshot(s: SparkSession, d: str) -> DataFrame:
@@ -168,12 +179,12 @@ def j_relationship(s: SparkSession, d: str) -> DataFrame:
 
 def j_active_inner(s: SparkSession, d: str) -> DataFrame:
     r = inp.irr(s, d).select("date", "source", "net", "len", "origin").distinct()
-    return r.join(comp.routed_single(s, d), ["date", "net", "len", "origin"]).withColumn("source", F.explode(F.array("source", F.lit(comp.ALL)))).distinct()
+    return inp.shown(r.join(comp.routed_single(s, d), ["date", "net", "len", "origin"]).withColumn("source", F.explode(F.array("source", F.lit(comp.ALL)))).distinct())
 
 
 def j_feature_join(s: SparkSession, d: str) -> DataFrame:
     """Route objects with the features of the month before their snapshot."""
-    f = table(s, d, "bgp_feature").where(~F.col("prefix_addr").contains(":")).select(
+    f = table(s, d, "bgp_feature").select(
         F.date_format(F.add_months(F.to_date(F.col("month").cast("string"), "yyyyMM"), 1), "yyyyMM").cast("int").alias("month"),
         F.concat_ws("/", "prefix_addr", F.col("prefix_len").cast("string")).alias("prefix"), "origin", "feat_id", "uptime_30",
     ).distinct()
@@ -182,8 +193,11 @@ def j_feature_join(s: SparkSession, d: str) -> DataFrame:
 
 
 def j_full_outer_max(s: SparkSession, d: str) -> DataFrame:
-    """Latest day of each active key, accumulated history and current day being one union."""
-    return comp.routed_single(s, d).groupBy("net", "len", "origin").agg(F.max("date").alias("latest_date"))
+    """Accumulated active objects of all days but the newest, merged with the newest day's."""
+    a = comp.active_routes(s, d)
+    newest = a.agg(F.max("date")).scalar()
+    before = a.where(F.col("date") < newest).groupBy(*comp.AKEY).agg(F.max("date").alias("latest_date"))
+    return inp.shown(comp.merge_active(before, a.where(F.col("date") == newest)))
 
 
 def j_transfer_label(s: SparkSession, d: str) -> DataFrame:
@@ -195,7 +209,7 @@ def j_other_active_origin(s: SparkSession, d: str) -> DataFrame:
 
 
 def j_origin_sets_meet(s: SparkSession, d: str) -> DataFrame:
-    return comp._prefix_agreement(s, d).select("date", "source", "net", "len", "same")
+    return comp._prefix_agreement(s, d).select("date", "source", _net(), "len", "same")
 
 
 def j_totals_left(s: SparkSession, d: str) -> DataFrame:
@@ -219,7 +233,7 @@ def a_vector_sum(s: SparkSession, d: str) -> DataFrame:
 
 
 def a_vantage_points(s: SparkSession, d: str) -> DataFrame:
-    return inp.bgp(s, d).select("date", "net", "len", F.array_join(F.transform("origins", lambda x: x.cast("string")), "|").alias("origins"), "total_cnt")
+    return inp.bgp(s, d).select("date", _net(), "len", F.array_join(F.transform("origins", lambda x: x.cast("string")), "|").alias("origins"), "total_cnt")
 
 
 def a_grouping_sets(s: SparkSession, d: str) -> DataFrame:
@@ -244,7 +258,7 @@ def a_pivot_relation(s: SparkSession, d: str) -> DataFrame:
 
 
 def a_ip_union(s: SparkSession, d: str) -> DataFrame:
-    return covered_addresses(inp.irr(s, d), ["date", "source"])
+    return covered_space(inp.irr(s, d), ["date", "source"])
 
 
 def a_bitvector(s: SparkSession, d: str) -> DataFrame:
@@ -267,15 +281,15 @@ def q15_feature_stats(s: SparkSession, d: str) -> DataFrame:
 def a_percent(s: SparkSession, d: str) -> DataFrame:
     c = comp.q1_bgp_coverage(s, d)
     pct = F.round(F.coalesce(F.try_divide(100 * F.col("valid"), F.col("covered")), F.lit(0.0)), 6)
-    return c.select("date", "source", pct.alias("valid_pct"))
+    return c.select("date", "family", "source", pct.alias("valid_pct"))
 
 
 def w_active_cdf(s: SparkSession, d: str) -> DataFrame:
-    return comp.q12_active_cdf(s, d).select("source", "latest_date", "irr", "irr_total")
+    return comp.q12_active_cdf(s, d).select("family", "source", "latest_date", "irr", "irr_total")
 
 
 def w_age_cdf(s: SparkSession, d: str) -> DataFrame:
-    return comp.q13_irr_age_cdf(s, d).where("validation = 'all'").select("source", "age", "cdf")
+    return comp.q13_irr_age_cdf(s, d).where("validation = 'all'").select("date", "source", "age", "cdf")
 
 
 def w_pr_curve(s: SparkSession, d: str) -> DataFrame:
@@ -306,7 +320,7 @@ def w_run_islands(s: SparkSession, d: str) -> DataFrame:
 
 
 def _keys(df: DataFrame) -> DataFrame:
-    return df.select("date", "net", "len", "origin")
+    return df.select("date", _net(), "len", "origin")
 
 
 def u_union(s: SparkSession, d: str) -> DataFrame:
@@ -332,13 +346,13 @@ def u_dates_missing(s: SparkSession, d: str) -> DataFrame:
 
 
 def l_topk(s: SparkSession, d: str) -> DataFrame:
-    return p_filter_ipv4_24(s, d).orderBy(F.desc("total_cnt"), "date", "net", "len", "origins").limit(20)
+    return p_filter_too_specific(s, d).orderBy(F.desc("total_cnt"), "date", "net", "len", "origins").limit(20)
 
 
 def l_cover_shortest(s: SparkSession, d: str) -> DataFrame:
     """Shortest payload prefix covering each route object."""
     h = cover_join(inp.irr(s, d).select("date", "net", "len").distinct(), inp.vrp(s, d).select("date", "net", "len").distinct(), ["date"], distinct=False)
-    return h.groupBy("date", "net", "len").agg(F.min(F.struct("c_len", "c_net")).alias("m")).select("date", "net", "len", F.col("m.c_len").alias("c_len"), F.col("m.c_net").alias("c_net"))
+    return h.groupBy("date", "net", "len").agg(F.min(F.struct("c_len", "c_net")).alias("m")).select("date", _net(), "len", F.col("m.c_len").alias("c_len"), net_hex("m.c_net").alias("c_net"))
 
 
 def l_low_watermark(s: SparkSession, d: str) -> DataFrame:

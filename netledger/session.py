@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can read; the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a folder of this machine is made.
+    Only where all runs in this one process (tests, a laptop) a folder of this machine will do; elsewhere
+    an absent setting is an error, for executors would write each to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), f"netledger-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 

@@ -10,12 +10,14 @@ from __future__ import annotations
 import bz2
 import gzip
 import ipaddress
+import itertools
 import struct
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _BGP4MP = {16: 0, 17: 4}  # type -> bytes of microseconds
 _MESSAGES = {1: 2, 4: 4, 6: 2, 7: 4}  # subtype -> bytes of a number
@@ -60,6 +62,11 @@ def _path(data: bytes, width: int) -> list[str]:
     return hops
 
 
+def merged_path(path: list[str], path4: list[str]) -> list[str]:
+    """Four-byte numbers, where carried apart, stand for the tail of the path (RFC 6793); a longer tail than the path is ignored."""
+    return path if len(path4) > len(path) else path[: len(path) - len(path4)] + path4
+
+
 def _update(body: bytes, width: int) -> Iterator[tuple[str, str]]:
     """(prefix, origin) of the announcements of an UPDATE."""
     gone = int.from_bytes(body[:2], "big")
@@ -83,8 +90,7 @@ def _update(body: bytes, width: int) -> Iterator[tuple[str, str]]:
         elif kind == 14 and len(value) > 5 and value[2] == 1:
             family = int.from_bytes(value[:2], "big")
             found += _prefixes(value[4 + value[3] + 1 :], family)
-    # four-byte numbers, where carried apart, stand for the tail of the path
-    origin = (path4 or path)[-1:] or [""]
+    origin = merged_path(path, path4)[-1:] or [""]
     for p in found:
         if origin[0]:
             yield p, origin[0]
@@ -114,9 +120,8 @@ def announcements(data: bytes) -> Iterator[tuple[int, str, str]]:
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-            rows = list(announcements(unpack(content)))
-            for i in range(0, len(rows), 50_000):
-                part = rows[i : i + 50_000]
+            found = announcements(unpack(content))
+            while part := list(itertools.islice(found, 50_000)):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([path] * len(part)),
@@ -128,7 +133,15 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def read_updates(spark: SparkSession, path: str) -> DataFrame:
-    """``path, date, prefix, origin``, distinct within each file's vantage point and day."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_decode, "path string, date int, prefix string, origin string").distinct()
+def vantage_point(path: str) -> Column:
+    """The folder of a collector in an archive's path, above folders of months and ``UPDATES``."""
+    parts = F.slice(F.split(path, "/"), 1, F.greatest(F.lit(0), F.size(F.split(path, "/")) - 1))
+    named = F.filter(parts, lambda x: ~F.upper(x).isin("UPDATES", "BGPDATA") & ~x.rlike(r"^\d{4}[.-]?\d{2}([.-]?\d{2})?$"))
+    return F.element_at(named, -1)
+
+
+def read_updates(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``vantage, date, prefix, origin``, distinct within each vantage point and day, whatever the number of files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    rows = files.mapInArrow(_decode, "path string, date int, prefix string, origin string")
+    return rows.select(vantage_point("path").alias("vantage"), "date", "prefix", "origin").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,17 +18,29 @@ def due_days(inputs: list[DataFrame], done: DataFrame, day: str = "date") -> Dat
         top = d.agg(F.max("day").alias("top"))
         last = top if last is None else last.unionByName(top)
         both = d if both is None else both.join(d, "day", "left_semi")
-    reach = last.agg(F.min("top").alias("top"))
-    start = done.agg(F.max(day).alias("start"))
-    joined = both.join(F.broadcast(reach)).join(F.broadcast(start))
-    return joined.where((F.col("day") <= F.col("top")) & (F.col("start").isNull() | (F.col("day") > F.col("start")))).select(F.col("day").alias(day))
+    bounds = both.select("day", last.agg(F.min("top")).scalar().alias("top"), done.agg(F.max(day)).scalar().alias("start"))
+    return bounds.where((F.col("day") <= F.col("top")) & (F.col("start").isNull() | (F.col("day") > F.col("start")))).select(F.col("day").alias(day))
 
 
 def due_months(available: DataFrame, done: DataFrame, day: str = "date", month: str = "month") -> DataFrame:
     """Whole months of the available ``yyyymmdd`` days, but the last, that are not done."""
     have = available.select(F.expr(f"{day} div 100").cast("int").alias(month)).distinct()
-    last = have.agg(F.max(month).alias("_last"))
-    return have.join(F.broadcast(last)).where(F.col(month) < F.col("_last")).select(month).join(done.select(month).distinct(), month, "left_anti")
+    last = have.agg(F.max(month)).scalar()
+    return have.where(F.col(month) < last).join(done.select(month).distinct(), month, "left_anti")
+
+
+def target_days(inputs: list[DataFrame], day: str = "date") -> DataFrame:
+    """Days that any of the inputs asks for."""
+    every = inputs[0].select(day)
+    for df in inputs[1:]:
+        every = every.unionByName(df.select(day))
+    return every.where(F.col(day).isNotNull()).distinct()
+
+
+def day_batches(days: DataFrame, size: int, day: str = "date") -> DataFrame:
+    """Distinct days in order with the ``batch`` of ``size`` days each falls in; for jobs that take several at once."""
+    order = Window.orderBy(day)  # one row a day: thousands at most
+    return days.select(day).distinct().withColumn("batch", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
 
 
 def missing_days(available: DataFrame, done: DataFrame, day: str = "date") -> DataFrame:

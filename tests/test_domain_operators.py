@@ -1,3 +1,4 @@
+import ipaddress
 import random
 
 import numpy as np
@@ -6,9 +7,9 @@ from pyspark.sql import functions as F
 from netledger.functions import ip
 from netledger.operators.activity import METRICS, SPAN, WINDOWS, feature_names, month_bitmaps, run_metrics, runs, wide_features
 from netledger.operators.asof import nearest_snapshot
-from netledger.operators.blocks import cidr_blocks, covered_addresses
-from netledger.operators.cover import cover_join, cover_join_any
-from netledger.operators.registry import directed_edges, sum_relations, validate_origin
+from netledger.operators.blocks import cidr_blocks, covered_space
+from netledger.operators.cover import cover_join
+from netledger.operators.registry import directed_edges, validate_origin, validated_relations
 from netledger.operators.scoring import auc_pr, pr_curve, softmax1
 
 
@@ -32,33 +33,53 @@ def test_prefixes_of_both_families(spark):
     assert set(got) <= set(texts[:4]) | {"1::2::3/8"}
 
 
-def test_cover_join_matches_ranges(spark):
-    rng = random.Random(7)
-    make = lambda n: [((rng.randrange(2**32) >> (32 - k) << (32 - k)) & 0xF000FFFF | 0x0A000000, k) for k in [rng.randrange(0, 33) for _ in range(n)]]
-    fix = lambda rows: [((a >> (32 - k) << (32 - k)) if k else 0, k) for a, k in rows]
-    probe, dim = fix(make(150)), fix(make(80)) + [(0, 0)]
-    p = spark.createDataFrame([(1, *x) for x in probe] + [(1, None, 8), (1, 5, None)], "date int, net long, len int").distinct()
-    d = spark.createDataFrame([(1, *x) for x in dim * 2] + [(2, 0, 1), (1, None, 8)], "date int, net long, len int")
-    got = {(r.net, r.len, r.c_net, r.c_len) for r in cover_join(p, d, ["date"]).collect()}
-    want = {(*x, *y) for x in probe for y in dim if 0 < y[1] <= x[1] and y[0] <= x[0] < y[0] + 2 ** (32 - y[1])}
-    assert got == want
-    left = cover_join(p, d, ["date"], how="left")
-    assert {(r.net, r.len) for r in left.collect()} == {*probe, (None, 8), (5, None)}
+def nets(spark, rows, extra=""):
+    """Rows whose first column is a prefix as text, with ``net, len``; null prefixes keep nulls."""
+    df = spark.createDataFrame(rows, f"p string{extra}")
+    six = ip.with_net(df, "p")
+    return six.unionByName(df.where("p is null").withColumns({"net": F.lit(None).cast(six.schema["net"].dataType), "len": F.lit(8)}))
+
+
+def test_address_text_of_both_families(spark):
+    rng = random.Random(3)
+    texts = {str(ipaddress.ip_address(rng.getrandbits(128) & rng.choice([-1, (1 << 128) - (1 << 64), 0xFFFF << 96 | 0xFF00FF, 0xFFFF << 48]))) for _ in range(60)} | {"::", "::1", "1::", "10.0.0.255"}
+    got = nets(spark, [(f"{ipaddress.ip_address(t)}/8",) for t in texts if t != "x"]).select(ip.address_text("net").alias("a"), ip.net_hex("net").alias("h"), ip.prefix_text("net", "len").alias("t")).collect()
+    want = {str(a): a.packed.hex() for a in (ipaddress.ip_address(t) for t in texts) if "." not in str(a) or a.version == 4}
+    assert {r.a: r.h for r in got} == want and all(r.t == f"{r.a}/8" for r in got)
 
 
-def test_cover_join_any_mixes_no_families(spark):
-    p = ip.with_prefix(spark.createDataFrame([("10.0.0.0/8",), ("a00::/8",), ("fd00:1::/48",)], "p string"), "p")
-    d = ip.with_prefix(spark.createDataFrame([("0.0.0.0/0", "v4"), ("::/0", "v6"), ("fd00::/16", "u"), ("10.0.0.0/8", "ten")], "q string, name string"), "q").drop("q")
-    assert {(r.p, r.name) for r in cover_join_any(p, d).collect()} == {("10.0.0.0/8", "v4"), ("10.0.0.0/8", "ten"), ("a00::/8", "v6"), ("fd00:1::/48", "v6"), ("fd00:1::/48", "u")}
+def test_cover_join_matches_containment(spark):
+    rng = random.Random(7)
+
+    def make(n, least):
+        out = []
+        for _ in range(n):
+            four = rng.random() < 0.6
+            width, k = (32, rng.randrange(least, 33)) if four else (128, rng.choice([least, 16, 40, 48, 64, 65, 128]))
+            bits = rng.getrandbits(width) & (0x0F03FFFF if four else (0xF << 120 | 0x3 << 78 | 0x3 << 60 | 0xFF)) | (0x0A << 24 if four else 0xFD << 120)
+            out.append(str(ipaddress.ip_network((bits >> (width - k) << (width - k), k))))
+        return out
+
+    probe, dim = make(200, 0), make(120, 0) + ["0.0.0.0/0", "::/0", "255.0.0.0/8", "8000::/1"]
+    p = nets(spark, [(x, 1) for x in sorted(set(probe))] + [(None, 1)], ", date int")
+    d = nets(spark, [(x, 1, x) for x in dim * 2] + [("10.0.0.0/1", 2, "other"), (None, 1, "null")], ", date int, name string").drop("p")
+    inside = lambda a, b: ipaddress.ip_network(a).version == ipaddress.ip_network(b).version and ipaddress.ip_network(a).subnet_of(ipaddress.ip_network(b))
+    for default, least in ((False, 1), (True, 0)):
+        want = {(a, b) for a in probe for b in dim if inside(a, b) and ipaddress.ip_network(b).prefixlen >= least}
+        got = [(r.p, r.c_name) for r in cover_join(p, d, ["date"], default_route=default, measured=default).collect()]
+        assert set(got) == want and len(got) == len(want)
+    left = cover_join(p, d, ["date"], how="left").collect()
+    assert {(r.p, r.c_name) for r in left if r.c_name} == {(a, b) for a, b in want if not b.endswith("/0")} and {r.p for r in left} == {*probe, None}
 
 
 def test_validation_and_relations(spark):
-    routes = spark.createDataFrame([(1, 0x0A000000, 16, 5, "x"), (1, 0x0A000000, 24, 5, None), (1, 0x0B000000, 8, 5, "x")], "date int, net long, len int, origin long, isp string")
-    roas = spark.createDataFrame([(1, 0x0A000000, 8, 5, 16, None), (1, 0x0A000000, 8, 6, 32, "x")], "date int, net long, len int, origin long, max_len int, isp string")
+    routes = nets(spark, [("10.0.0.0/16", 1, 5, "x"), ("10.0.0.0/24", 1, 5, None), ("11.0.0.0/8", 1, 5, "x"), ("fd00::/32", 1, 6, None)], ", date int, origin long, isp string").drop("p")
+    roas = nets(spark, [("10.0.0.0/8", 1, 5, 16, None), ("10.0.0.0/8", 1, 6, 32, "x"), ("fd00::/16", 1, 6, 48, None)], ", date int, origin long, max_len int, isp string").drop("p")
     keys = ["date", "net", "len", "origin", "isp"]
-    assert {(r.len, r.validation) for r in validate_origin(routes, roas, keys).collect()} == {(16, "valid"), (24, "invalid"), (8, "unknown")}
+    assert {(r.len, r.validation) for r in validate_origin(routes, roas, keys).collect()} == {(16, "valid"), (24, "invalid"), (8, "unknown"), (32, "valid")}
     edges = directed_edges(spark.createDataFrame([(5, 6, -1)], "as1 long, as2 long, rel int"))
-    assert {(r.len, r.sum_rel) for r in sum_relations(routes, roas, edges, keys).collect()} == {(16, "same"), (24, "customer-provider"), (8, "not-covered")}
+    got = {(r.len, r.validation, r.sum_rel) for r in validated_relations(routes, roas, edges, keys).collect()}
+    assert got == {(16, "valid", "same"), (24, "invalid", "customer-provider"), (8, "unknown", "not-covered"), (32, "valid", "same")}
 
 
 def test_cidr_blocks_are_aligned_and_complete(spark):
@@ -77,10 +98,13 @@ def test_cidr_blocks_are_aligned_and_complete(spark):
         assert all(len([1 for x in sizes if x == k]) <= 2 for k in sizes)  # the least set has at most two of a size
 
 
-def test_covered_addresses(spark):
-    rows = [("a", 0, 1), ("a", 0, 8), ("a", 0, 8), ("b", 0x0A000000, 8), ("b", 0x0A010000, 16), ("b", 0x0B000000, 32), ("c", 0, 0)]
-    got = dict(tuple(r) for r in covered_addresses(spark.createDataFrame(rows, "k string, net long, len int"), ["k"]).collect())
-    assert got == {"a": 2**31, "b": 2**24 + 1, "c": 2**32}
+def test_covered_space(spark):
+    rows = [("0.0.0.0/1", "a"), ("0.0.0.0/8", "a"), ("0.0.0.0/8", "a"), ("10.0.0.0/8", "b"), ("10.1.0.0/16", "b"), ("11.0.0.0/32", "b"), ("0.0.0.0/0", "c"), (None, "d"), ("240.0.0.0/13", "e"), ("240.8.0.0/13", "e")]
+    rows += [("fd00:1::/48", "b"), ("fd00:1::/32", "b"), ("fd00:2::1/128", "b"), ("fd00:2::/65", "b"), ("::/8", "c"), ("8000::/16", "c"), ("ff00::/8", "e")]
+    got = {(r.k, r.family): r.num_ip for r in covered_space(nets(spark, rows, ", k string"), ["k"]).collect()}
+    assert got == {
+        ("a", 4): 2**31, ("b", 4): 2**24 + 1, ("c", 4): 2**32, ("e", 4): 2**20, ("b", 6): 2**32 + 1, ("c", 6): 2**56 + 2**48, ("e", 6): 2**56,
+    }
 
 
 def test_nearest_snapshot(spark):

@@ -5,6 +5,7 @@ import struct
 
 from pyspark.sql import functions as F
 
+from netledger.functions.ip import with_net
 from netledger.plans.ingest import irr_table, reduced_updates, vrp_table
 from netledger.sources import delegated, features, landing, mrt, networks, rpsl, transfers
 
@@ -101,8 +102,26 @@ def test_mrt(spark, tmp_path):
     got = {(r.date, r.prefix, r.origin) for r in mrt.read_updates(spark, str(tmp_path)).collect()}
     day = 20230301
     assert got == {(day, "192.0.2.0/24", "64500"), (day, "10.0.0.0/8", "64500"), (day, "11.0.0.0/8", "{7,8}"), (day, "12.0.0.0/8", "70000"), (day, "2001:db8::/32", "9")}
-    reduced = {(r.net, tuple(r.origins), r.total_cnt) for r in reduced_updates(mrt.read_updates(spark, str(tmp_path))).collect()}
-    assert (11 << 24, (7, 8), 1) in reduced and len(reduced) == 4
+    reduced = {(r.net.hi, tuple(r.origins), r.total_cnt) for r in reduced_updates(mrt.read_updates(spark, str(tmp_path))).collect()}
+    assert (11 << 56, (7, 8), 1) in reduced and (0x20010DB800000000, (9,), 1) in reduced and len(reduced) == 5
+
+
+def test_hours_of_a_vantage_point_are_one(spark, tmp_path):
+    seq = bytes([2, 1]) + (64500).to_bytes(4, "big")
+    two = lambda day: record(update(attribute(2, seq), bytes([24, 192, 0, 2])), second=1677628800 + day)
+    for vantage in ("route-views.a", "route-views.b"):
+        folder = tmp_path / vantage / "2023.03" / "UPDATES"
+        folder.mkdir(parents=True)
+        for hour in range(3 if vantage.endswith("a") else 1):
+            (folder / f"updates.20230301.{hour:02}00.gz").write_bytes(gzip.compress(two(3600 * hour)))
+    rows = mrt.read_updates(spark, str(tmp_path))
+    assert {tuple(r) for r in rows.collect()} == {(v, 20230301, "192.0.2.0/24", "64500") for v in ("route-views.a", "route-views.b")}
+    assert [r.total_cnt for r in reduced_updates(rows).collect()] == [2]
+
+
+def test_merged_paths():
+    assert mrt.merged_path(["1", "23456", "23456"], ["70000", "70001"]) == ["1", "70000", "70001"]
+    assert mrt.merged_path(["1"], []) == ["1"] and mrt.merged_path(["1"], ["2", "3"]) == ["1"]
 
 
 def test_file_names(spark):
@@ -113,10 +132,10 @@ def test_file_names(spark):
 
 def test_sinks_and_ingestion(spark, tmp_path):
     objects = spark.createDataFrame([(20230301, "RADB", "10.1.0.0", 16, 5, 20200101), (20230301, "RADB", "fd00::", 8, 6, None)], "date int, source string, prefix_addr string, prefix_len int, origin long, changed int")
-    blocks = spark.createDataFrame([(20230301, 10 << 24, 8, "arin")], "date int, net long, len int, rir string")
+    blocks = with_net(spark.createDataFrame([(20230301, "10.0.0.0/8", "arin"), (20230301, "fc00::/7", "apnic")], "date int, p string, rir string"), "p").drop("p")
     orgs = spark.createDataFrame([(20230301, 5, "Org", "US")], "date int, asn long, org string, country string")
     rows = irr_table(objects, blocks, orgs)
-    assert {(r.rir, r.prefix, r.isp) for r in rows.collect()} == {("arin", "10.1.0.0/16", "Org"), (None, "fd00::/8", None)}
+    assert {(r.rir, r.prefix, r.isp) for r in rows.collect()} == {("arin", "10.1.0.0/16", "Org"), ("apnic", "fd00::/8", None)}
     roas = spark.createDataFrame([(20230301, "rsync://rpki.ripe.net/x.roa", "10.1.0.0", 16, None, 5)], "date int, uri string, prefix_addr string, prefix_len int, max_len int, origin long")
     assert tuple(vrp_table(roas, blocks, orgs).select("rir", "max_len", "num_ip", "isp").first()) == ("ripencc", 16, 65536, "Org")
     landing.write_days(rows, str(tmp_path / "days"))
