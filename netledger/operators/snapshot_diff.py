@@ -1,9 +1,10 @@
 """Added, removed and changed records between consecutive full snapshots.
 
 Rows are reduced to a 128-bit key hash, the snapshot's number within its source and a 64-bit row
-hash, and shuffled by key hash, so a source that holds most rows spreads over all buckets. In each
-bucket numpy sorts the compact arrays and finds set differences with ``searchsorted``; only the
-differing keys go back to the table for their full values.
+hash, and shuffled once by key hash, so a source that holds most rows spreads over all buckets, whose number
+follows from the row count. In each bucket numpy sorts the compact arrays and finds set differences with
+``searchsorted``; only the differing keys go back to the table for their full values, into the scan if
+there are few.
 """
 
 from __future__ import annotations
@@ -15,6 +16,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netledger.session import cut
+
+#: Rows of a bucket that one task sorts: some 100 MB.
+BUCKET_ROWS = 1_000_000
+#: Rows of a list that go to every task of a scan at most, some 20 MB.
+SMALL_LIST = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``SMALL_LIST`` rows, counted; else as it is."""
+    return F.broadcast(df) if df.limit(SMALL_LIST + 1).count() <= SMALL_LIST else df
+
+
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bucket: rows (k1, k2, sid, ord, last, row_hash), one per key and snapshot."""
     held = [b for b in batches if b.num_rows]
@@ -80,17 +94,21 @@ def snapshot_changes(
     dates = base.select(src, snap).distinct()
     by_date = Window.partitionBy("__src").orderBy("__snap")
     numbered = dates.select("__src", "__snap", F.row_number().over(by_date).alias("ord"), F.count(F.lit(1)).over(Window.partitionBy("__src")).cast("int").alias("last"))
+    numbered = cut(numbered, "snapshots")  # one row a source and snapshot
 
-    compact = base.select(src, snap, *ids, F.xxhash64(*marked).alias("row_hash"), (F.col(latest) if latest else F.lit(0)).cast("string").alias("seen"))
-    # map-side combine drops repeated rows before the shuffle; the pick is the latest row
-    once = compact.groupBy("k1", "k2", "__src", "__snap").agg(F.max(F.struct(F.coalesce("seen", F.lit("")).alias("seen"), "row_hash")).alias("pick"))
-    arrays = once.join(numbered, ["__src", "__snap"]).select("k1", "k2", "ord", "last", F.col("pick.row_hash").alias("row_hash"))
-    diff = arrays.repartition("k1").mapInArrow(_differences, "k1 long, k2 long, at_ord long, held_ord long, change_kind string")
+    session = df.sparkSession
+    buckets = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // BUCKET_ROWS))
+    compact = base.select(src, snap, *ids, F.xxhash64(*marked).alias("row_hash"), (F.col(latest) if latest else F.lit(0)).alias("seen")).join(few(numbered), ["__src", "__snap"])
+    # one shuffle: rows of a key meet in a bucket, where repeated rows of a snapshot are reduced to the latest
+    bucket = compact.select("k1", "k2", "ord", "last", "seen", "row_hash").repartition(buckets, "k1")
+    once = bucket.groupBy("k1", "k2", "ord", "last").agg(F.max(F.struct("seen", "row_hash")).alias("pick"))
+    arrays = once.select("k1", "k2", "ord", "last", F.col("pick.row_hash").alias("row_hash"))
+    diff = few(cut(arrays.mapInArrow(_differences, "k1 long, k2 long, at_ord long, held_ord long, change_kind string"), "differing-keys"))
 
     keys = [F.col(c).alias(f"key_{i}") for i, c in enumerate(key)]
-    full = base.select(src, snap, *ids, *keys).join(numbered.select("__src", "__snap", F.col("ord").cast("long").alias("held_ord")), ["__src", "__snap"])
-    named = diff.join(full, ["k1", "k2", "held_ord"]).groupBy("k1", "k2", "held_ord", "change_kind", "__src", "at_ord").agg(
+    full = base.select(src, snap, *ids, *keys).join(few(numbered.select("__src", "__snap", F.col("ord").cast("long").alias("held_ord"))), ["__src", "__snap"])
+    named = full.join(diff, ["k1", "k2", "held_ord"]).groupBy("k1", "k2", "held_ord", "change_kind", "__src", "at_ord").agg(
         *[F.first(f"key_{i}").alias(f"key_{i}") for i in range(len(key))]
     )
     when = numbered.select("__src", "__snap", F.col("ord").cast("long").alias("at_ord"))
-    return named.join(when, ["__src", "at_ord"]).select(F.col("__snap").alias(snapshot), *[F.col(f"key_{i}").alias(c) for i, c in enumerate(key)], "change_kind")
+    return named.join(few(when), ["__src", "at_ord"]).select(F.col("__snap").alias(snapshot), *[F.col(f"key_{i}").alias(c) for i, c in enumerate(key)], "change_kind")
