@@ -6,8 +6,8 @@ and attributes may change at different times. A match is the history row with th
 ``valid_from <= event time`` among the rows with ``known_at <= decision time`` (ties: greatest
 ``known_at``, then greatest value text), hence nothing that became known later is ever used.
 
-Histories and events of a key meet in one sorted partition. Keys with a great share of the events
-are salted and their compressed histories go to each
+Histories and events of a key meet in one sorted partition. Keys with many events
+are salted by their number and their compressed histories go to each
 salt. In a partition the search doubles links to sooner-known rows, so a long run of late
 corrections costs a logarithm, not a scan.
 """
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from netledger.operators.skew import heavy_hitters
 
 CHUNK_ROWS = 200_000
+#: Events of one key that one task takes; a key of more, and of ``HOT_SHARE`` of all, is salted.
+HOT_EVENTS = 250_000
+HOT_SHARE = 0.002
 
 
 def change_history(df: DataFrame, key: str, valid_from, known_at, value: str, attribute: str) -> DataFrame:
@@ -56,14 +59,12 @@ def last_known(known: np.ndarray, start: np.ndarray, stop: np.ndarray, limit: np
     logarithmically many steps for all probes at once.
     """
     n = len(known)
-    sooner, stack = np.full(n + 1, 0, dtype=np.int64), []
-    values = known.tolist()
-    for i, v in enumerate(values):  # indices are shifted by one; 0 stands for "none"
-        while stack and values[stack[-1]] >= v:
-            stack.pop()
-        sooner[i + 1] = stack[-1] + 1 if stack else 0
-        stack.append(i)
-    shifted = np.r_[np.iinfo(np.int64).min, known]
+    shifted = np.r_[np.iinfo(np.int64).min, known]  # indices are shifted by one; 0 stands for "none"
+    sooner = np.maximum(np.arange(n + 1) - 1, 0)
+    late = np.flatnonzero(shifted[sooner[1:]] >= known) + 1
+    while len(late):  # all rows between a row and its link are known later than either, so links can be followed at once
+        sooner[late] = sooner[sooner[late]]
+        late = late[(shifted[sooner[late]] >= shifted[late]) & (sooner[late] > 0)]
     links = [sooner]
     while links[-1].any():
         links.append(links[-1][links[-1]])
@@ -133,8 +134,7 @@ def attributes_as_of(
     known_us: str,
     payload: Sequence[str],
     types: Mapping[str, str],
-    hot_share: float = 0.05,
-    salts: int = 32,
+    hot_events: int = HOT_EVENTS,
 ) -> DataFrame:
     """Each event with every attribute as of ``valid_us``, among what was known by ``known_us``.
 
@@ -156,13 +156,14 @@ def attributes_as_of(
         F.lit(None).cast("string").alias("value"),
         *[F.col(c).alias(i) for c, i in zip(payload, inner)],
     )
-    heavy = F.broadcast(heavy_hitters(ev, "key", share=hot_share).select(F.col("key").alias("__hot")))  # bounded by the sketch
-    spread = F.pmod(F.xxhash64("valid_us", "known_us", *inner), F.lit(salts)).cast("int")
-    ev = ev.join(heavy, F.col("key") == F.col("__hot"), "left").withColumn("salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(spread)).drop("__hot")
+    heavy = heavy_hitters(ev, "key", share=HOT_SHARE, weight_floor=hot_events)  # bounded by the share
+    heavy = F.broadcast(heavy.select(F.col("key").alias("__hot"), F.ceil(F.col("est_rows") / hot_events).cast("int").alias("__salts")))
+    spread = F.pmod(F.xxhash64("valid_us", "known_us", *inner), F.col("__salts")).cast("int")
+    ev = ev.join(heavy, F.col("key") == F.col("__hot"), "left").withColumn("salt", F.coalesce(spread, F.lit(0))).drop("__hot", "__salts")
     hist = None
     for h in histories.values():
         hist = h if hist is None else hist.unionByName(h)
-    every = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
+    every = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__salts") - 1))
     hist = hist.join(heavy, F.col("key") == F.col("__hot"), "left").withColumn("salt", F.explode(every))
     empty = [F.lit(None).cast(t).alias(i) for i, t in zip(inner, kinds)]
     hist = hist.select("key", "salt", F.lit(0).alias("kind"), "attribute", "valid_us", "known_us", "value", *empty)

@@ -113,7 +113,7 @@ FROM {{daily}} s""",
 FROM {{daily}} s""",
     "as_org": """SELECT d.snapshot, CAST(64512 + s_suppkey * 11 % 420 AS BIGINT) AS asn,
   min('ORG_' || CAST((s_nationkey + CASE WHEN d.snapshot > 20230115 THEN 1 ELSE 0 END) % 25 AS STRING)) AS org, min('C' || CAST(s_nationkey AS STRING)) AS country
-FROM {supplier} CROSS JOIN (VALUES (20230101), (20230201)) d(snapshot) GROUP BY 1, 2""",
+FROM (SELECT s_suppkey, s_nationkey, 20230101 AS snapshot FROM {supplier} UNION ALL SELECT s_suppkey, s_nationkey, 20230201 FROM {supplier}) d GROUP BY 1, 2""",
     "as_rel": """SELECT 20230101 AS snapshot, as1, as2, min(rel) AS rel
 FROM (SELECT LEAST(a, b) AS as1, GREATEST(a, b) AS as2, rel
   FROM (SELECT CAST(64512 + p_partkey * 37 % 420 AS BIGINT) AS a, CAST(64512 + (p_partkey * 74 + 37) % 420 AS BIGINT) AS b,

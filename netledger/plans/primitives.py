@@ -427,8 +427,8 @@ def j_substitute_days(s: SparkSession, d: str) -> DataFrame:
     before = F.lag("date").over(Window.partitionBy("source").orderBy("date"))
     gaps = snaps.select("source", F.date_add(before, 1).alias("gap_from"), F.col("date").alias("gap_to")).where("gap_from is not null and gap_from < gap_to")
     reach = snaps.groupBy("source").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    days = table(s, d, "bgp_update").select("date").where("date is not null").distinct()
-    wanted = reach.join(days, (F.col("date") >= F.col("a")) & (F.col("date") <= F.col("b"))).select("source", "date")
+    days = table(s, d, "bgp_update").agg(F.collect_set("date")).scalar()  # one value a day
+    wanted = reach.withColumn("days", days).select("source", F.explode(F.filter("days", lambda x: x.between(F.col("a"), F.col("b")))).alias("date"))
     out = substitute_days(wanted, gaps, ["source"])
     return out.select("source", inp.day_int("date").alias("date"), inp.day_int("use_date").alias("use_date"))
 

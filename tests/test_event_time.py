@@ -26,9 +26,9 @@ def test_attributes_as_of_matches_brute_force(spark, monkeypatch):
     h = spark.createDataFrame(versions, "uri string, since long, known long, color long")
     hist = {"color": et.change_history(h, "uri", F.col("since"), F.col("known"), "color", "color")}
     ev = spark.createDataFrame(events, "value long, kind string, at long, seen long")  # names that clash with the operator's own
-    for share, chunk in ((0.05, 200_000), (0.9, 50)):
+    for most, chunk in ((40, 200_000), (10**6, 50)):
         monkeypatch.setattr(et, "CHUNK_ROWS", chunk)
-        got = et.attributes_as_of(ev, hist, key="kind", valid_us="at", known_us="seen", payload=["value", "kind"], types={"color": "long"}, hot_share=share, salts=3)
+        got = et.attributes_as_of(ev, hist, key="kind", valid_us="at", known_us="seen", payload=["value", "kind"], types={"color": "long"}, hot_events=most)
         rows = {r["value"]: (r["color"], r["color_found"]) for r in got.collect()}
         assert len(rows) == len(events)
         for i, k, at, seen in events:
