@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 
 def file_name() -> Column:
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    """Name of the file a row comes from; that of its folder, where a landing folder holds ``file=NAME``."""
+    path = F.col("_metadata.file_path")
+    return F.coalesce(F.nullif(F.regexp_extract(path, "/file=([^/]+)/", 1), F.lit("")), F.element_at(F.split(path, "/"), -1))
 
 
 def file_day(name: Column | None = None) -> Column:
@@ -29,6 +32,25 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], schema: str,
     return (r.option("pathGlobFilter", glob) if glob else r).csv(paths)
 
 
+# fixed values: schemas of the tables that earlier jobs hand over
+PREDICTIONS = "idx long, date int, rir string, prefix_addr string, prefix_len int, origin long, isp string, sum_rel string, validation string, source string, record_type string, is_test int, score0 double, score1 double"
+TRANSFERS = "date int, prefix_addr string, prefix_len int, from_rir string, from_isp string, to_rir string, to_isp string, transfer_type string"
+VALIDATED_IRR = "date int, rir string, prefix string, origin long, isp string, country string, source string, changed string, validation string"
+
+
+def row_text(columns: Sequence[str], schema: StructType, sep: str = "\t") -> Column:
+    """A row as delimited text: lists in brackets, missing values and elements as ``None``."""
+    none = F.lit("None")
+
+    def text(c: str) -> Column:
+        if isinstance(schema[c].dataType, ArrayType):
+            inner = F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), none)), ",")
+            return F.when(F.col(c).isNull(), none).otherwise(F.concat(F.lit("["), inner, F.lit("]")))
+        return F.coalesce(F.col(c).cast("string"), none)
+
+    return F.concat_ws(sep, *map(text, columns))
+
+
 def write_days(df: DataFrame, path: str, day: str = "date", mode: str = "overwrite") -> None:
     """Parquet partitioned by day; overwriting replaces the days at hand and no others."""
     # one writer per day and bucket, so that a large day doesn't end in one file

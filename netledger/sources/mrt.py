@@ -117,6 +117,27 @@ def announcements(data: bytes) -> Iterator[tuple[int, str, str]]:
             yield second, prefix, origin
 
 
+def encode_update(second: int, prefix: str, origin: str) -> bytes:
+    """A BGP4MP record that announces one prefix, its path being 9 and the origin (a number, or a set ``{a,b}``)."""
+    net = ipaddress.ip_network(prefix, strict=False)
+    nlri = bytes([net.prefixlen]) + net.network_address.packed[: (net.prefixlen + 7) // 8]
+    number = lambda x: int(x).to_bytes(4, "big")
+    if origin.startswith("{"):
+        members = origin.strip("{}").split(",")
+        path = bytes([_SEQUENCE, 1]) + number(9) + bytes([_SET, len(members)]) + b"".join(map(number, members))
+    else:
+        path = bytes([_SEQUENCE, 2]) + number(9) + number(origin)
+    attrs = bytes([0x50, 2]) + len(path).to_bytes(2, "big") + path
+    if net.version == 6:
+        reach = b"\0\2\1\x10" + bytes(16) + b"\0" + nlri
+        attrs += bytes([0x50, 14]) + len(reach).to_bytes(2, "big") + reach
+        nlri = b""
+    body = b"\0\0" + len(attrs).to_bytes(2, "big") + attrs + nlri
+    message = b"\xff" * 16 + struct.pack(">HB", 19 + len(body), 2) + body
+    record = number(9) * 2 + b"\0\0\0\1" + bytes(8) + message
+    return struct.pack(">IHHI", second, 16, 4, len(record)) + record
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
