@@ -68,7 +68,7 @@ def _validation_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     matched = attributes_as_of(
         candidates, histories, key="uri", valid_us="at_valid", known_us="at_known", types={"vrp_origin": "long", "vrp_max_len": "int"},
-        payload=["rec_id", "at_valid", "at_known", "rec_origin", "rec_len", "uri", "roa_len"],
+        payload=["rec_id", "at_valid", "at_known", "rec_origin", "rec_len", "roa_len"],
     )
     matched = matched.withColumnsRenamed({"at_valid": "m_valid", "at_known": "m_known"})
     hit = F.col("vrp_origin_found") & (F.col("vrp_origin") == F.col("rec_origin")) & (F.col("rec_len") <= F.coalesce("vrp_max_len", "roa_len"))
