@@ -37,6 +37,25 @@ def month_bitmaps(df: DataFrame, keys: list[str], day: str) -> DataFrame:
     return marked.select(*keys, F.date_format("month_start", "yyyyMM").cast("int").alias("month"), "bits", text.alias("bit_text"))
 
 
+def year_presence(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, month, updays``: of every month that ends within a year of a present day, up to the newest month there is,
+    the days back from its end (0 = newest) on which the key was present, in order.
+
+    ``bitmaps`` are those of :func:`month_bitmaps`. Each month's bitmap goes to the twelve months it counts in, so
+    twelve bitmaps meet in a row and no window is needed. Months in which nothing is left give no row.
+    """
+    number = lambda m: F.expr(f"{m} div 100") * 12 + F.col(m) % 100 - 1
+    newest = bitmaps.agg(F.max("month")).scalar()
+    first = lambda n: F.make_date(F.floor(n / 12).cast("int"), (n % 12 + 1).cast("int"), F.lit(1))
+    each = bitmaps.select(*keys, "bits", number("month").alias("_n"), F.explode(F.sequence(number("month"), number("month") + 11)).alias("_to"), newest.alias("_newest"))
+    each = each.where(F.col("_to") <= number("_newest"))
+    met = each.groupBy(*keys, "_to").agg(F.collect_list(F.struct("_n", "bits")).alias("_months"))
+    days = met.withColumn("_end", F.last_day(first(F.col("_to"))))
+    offsets = F.flatten(F.transform("_months", lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.lit(30)), lambda i: F.getbit(m["bits"], i) == 1), lambda i: F.date_diff(F.col("_end"), first(m["_n"])) - i)))
+    out = days.select(*keys, F.date_format("_end", "yyyyMM").cast("int").alias("month"), F.array_sort(F.filter(offsets, lambda d: d < SPAN)).alias("updays"))
+    return out.where(F.size("updays") > 0)
+
+
 def runs(df: DataFrame, key: str, offsets: str) -> DataFrame:
     """``key, start, stop, online`` of each maximal run of present or absent days 0..364 (0 = newest).
 

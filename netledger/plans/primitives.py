@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netledger.functions.ip import asn_to_long, bit_text, common_prefix_len, ipv4_to_long, long_to_ipv4, mask4, net_hex, num_addresses, prefix_text
-from netledger.operators.activity import metric_stats, month_bitmaps, run_metrics, wide_features
+from netledger.functions import bits as bv
+from netledger.operators.activity import metric_stats, month_bitmaps, run_metrics, wide_features, year_presence
 from netledger.operators.asof import int_day, nearest_snapshot, substitute_days
 from netledger.operators.blocks import cidr_blocks, covered_space, number_ranges
 from netledger.operators.cover import cover_join
@@ -14,10 +15,12 @@ from netledger.operators.registry import attribute_rir, validate_origin
 from netledger.operators.scoring import kept, rejection_loss, softplus, y_pred, y_true
 from netledger.plans import composites as comp
 from netledger.plans import inputs as inp
+from netledger.plans import learning
 from netledger.session import table
 from netledger.sources import delegated
 from netledger.sources.rpsl import route_objects
 from netledger.sources.transfers import parse_transfers
+from netledger.streaming import incremental
 
 SNAPSHOT = 20230331
 
@@ -380,7 +383,112 @@ def q14_bitvector(s: SparkSession, d: str) -> DataFrame:
 
 def q15_bgp_feature(s: SparkSession, d: str) -> DataFrame:
     """The 312 features of each row."""
-    return wide_features(run_metrics(inp.presence(s, d), "feat_id", "updays"), "feat_id")
+    m = _rounded(run_metrics(inp.presence(s, d), "feat_id", "updays"), "feat_id", "wnd")
+    return _rounded(wide_features(m, "feat_id"), "feat_id", digits=8)
+
+
+def _monthly_bitmaps(s: SparkSession, d: str) -> DataFrame:
+    b = table(s, d, "bgp_update").where(F.col("nlri").isNotNull() & F.col("origin").try_cast("long").isNotNull())
+    return month_bitmaps(b, ["nlri", "origin"], "date")
+
+
+def w_year_presence(s: SparkSession, d: str) -> DataFrame:
+    """Twelve monthly bitmaps joined into a year of days, for each month."""
+    y = year_presence(_monthly_bitmaps(s, d), ["nlri", "origin"])
+    return y.select("nlri", "origin", "month", F.size("updays").alias("n_days"), F.array_min("updays").alias("newest"), F.array_max("updays").alias("oldest"))
+
+
+def w_year_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Run metrics of each prefix and origin by month, from the monthly bitmaps."""
+    y = year_presence(_monthly_bitmaps(s, d), ["nlri", "origin"])
+    return _rounded(run_metrics(y.select(F.concat_ws(" ", "nlri", "origin", F.col("month").cast("string")).alias("feat_id"), "updays"), "feat_id", "updays"), "feat_id", "wnd")
+
+
+def p_bitvector_rows(s: SparkSession, d: str) -> DataFrame:
+    """Bitvector rows as text, parsed again."""
+    line = F.concat_ws("\t", F.col("month").cast("string"), "nlri", "origin", "bit_text")
+    f = F.split(F.col("line"), "\t")
+    t = q14_bitvector(s, d).select(line.alias("line"))
+    return t.select(f[0].cast("int").alias("month"), F.split_part(f[1], F.lit("/"), F.lit(1)).alias("prefix_addr"), F.split_part(f[1], F.lit("/"), F.lit(2)).cast("int").alias("prefix_len"), f[2].cast("long").alias("origin"), bv.from_text(f[3]).alias("bits"))
+
+
+def p_ancestors(s: SparkSession, d: str) -> DataFrame:
+    """Payload prefixes spread over all their ancestors of length 8 and more."""
+    v = inp.vrp(s, d).select("uri", "net", "len").distinct()
+    each = v.withColumn("alen", F.explode(F.when(F.col("len") >= 8, F.sequence(F.lit(8), F.col("len")))))
+    return each.select("uri", "len", "alen", bit_text("net", "alen").alias("bits"))
+
+
+def p_irr_keyed(s: SparkSession, d: str) -> DataFrame:
+    """Route objects for evaluation, under their source and under all."""
+    r = inp.irr(s, d).select("date", "source", "net", "len", "origin").withColumn("source", F.explode(F.array("source", F.lit(comp.ALL))))
+    return inp.shown(r.distinct())
+
+
+def f_within_limit(s: SparkSession, d: str) -> DataFrame:
+    """Changed within a year before the snapshot; what is no date counts as within."""
+    days = int_day("date") - int_day("changed")
+    return inp.irr(s, d).select("date", "source", _net(), "len", "origin", "changed", F.coalesce(days <= 365, F.lit(True)).cast("int").alias("within"))
+
+
+def f_bit_words(s: SparkSession, d: str) -> DataFrame:
+    b = q14_bitvector(s, d).withColumn("bits", bv.from_text("bit_text"))
+    size = F.length("bit_text")
+    return b.select(
+        "nlri", "origin", "month", bv.words("bits", 8, 4).alias("words8"), bv.words("bits", 32, 1).alias("words32"), bv.from_words(bv.words("bits", 8, 4), 8).alias("again"),
+        bv.shifted("bits", 3, size).alias("later"), bv.shifted("bits", 3, size, 1).alias("later_filled"),
+    )
+
+
+def j_predictions(s: SparkSession, d: str) -> DataFrame:
+    """Records with the predictions made for their row ids; records without one go."""
+    r = inp.scored(s, d)
+    predictions = r.where(F.col("score0").isNotNull() & F.col("score1").isNotNull()).groupBy("idx").agg(F.max_by(F.struct("score0", "score1"), "date").alias("p"))
+    return r.select("idx", "date", _net(), "len", "origin").join(predictions, "idx").select("idx", "date", "net", "len", "origin", F.round("p.score0", 6).alias("score0"), F.round("p.score1", 6).alias("score1"))
+
+
+def _days_of(s: SparkSession, d: str, name: str) -> DataFrame:
+    return table(s, d, name).select(inp.day_int("date").alias("date")).where("date is not null")
+
+
+def u_target_dates(s: SparkSession, d: str) -> DataFrame:
+    """Days that any input asks for."""
+    return incremental.target_days([_days_of(s, d, t) for t in ("irr", "bgp_update", "vrp")])
+
+
+def l_date_batches(s: SparkSession, d: str) -> DataFrame:
+    """Snapshot days in batches of three."""
+    return incremental.day_batches(_days_of(s, d, "irr"), 3)
+
+
+def i_due_days(s: SparkSession, d: str) -> DataFrame:
+    """Days both inputs have, beyond what was done by the middle of February."""
+    done = _days_of(s, d, "irr").where("date <= 20230215")
+    return incremental.due_days([_days_of(s, d, "irr"), _days_of(s, d, "bgp_update")], done)
+
+
+def i_single_input(s: SparkSession, d: str) -> DataFrame:
+    return incremental.due_days([_days_of(s, d, "irr")], _days_of(s, d, "irr").where("date <= 20230215"))
+
+
+def i_due_months(s: SparkSession, d: str) -> DataFrame:
+    return incremental.due_months(_days_of(s, d, "bgp_update"), s.createDataFrame([(202301,)], "month int"))
+
+
+def i_complete_days(s: SparkSession, d: str) -> DataFrame:
+    return incremental.complete_days(table(s, d, "bgp_update")).select(inp.day_int("date").alias("date"))
+
+
+def m_split(s: SparkSession, d: str) -> DataFrame:
+    """Labelled records split by label: eight tenths of each train."""
+    parts = learning.stratified_split(comp.labelled(s, d).select("idx", "label").distinct(), "idx", "label")
+    return parts.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+def m_folds(s: SparkSession, d: str) -> DataFrame:
+    """Labelled records in five folds, each label spread evenly."""
+    parts = learning.folds(comp.labelled(s, d).select("idx", "label").distinct(), "idx", "label")
+    return parts.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q20_nro_expand(s: SparkSession, d: str) -> DataFrame:
@@ -434,4 +542,4 @@ def j_substitute_days(s: SparkSession, d: str) -> DataFrame:
 
 
 _EXTRA = (q14_bitvector, q15_bgp_feature, q15_feature_stats, q20_nro_expand, q21_transfers_flatten)
-QUERIES = {n: f for n, f in list(globals().items()) if n[:2] in ("p_", "f_", "j_", "a_", "w_", "u_", "l_", "s_") and callable(f) and n != "f_"} | {f.__name__: f for f in _EXTRA}
+QUERIES = {n: f for n, f in list(globals().items()) if n[:2] in ("p_", "f_", "j_", "a_", "w_", "u_", "l_", "s_", "i_", "m_") and callable(f) and n != "f_"} | {f.__name__: f for f in _EXTRA}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netledger.operators.activity import WINDOWS
+from netledger.operators.activity import METRICS, WINDOWS
 from netledger.plans.composites import ALL, RIRS, SOURCES
 from netledger.plans.composites_sql import ORACLE as COMPOSITE
 from netledger.plans.composites_sql import ACTIVE, METHODS, Q1, VALIDATED, first_unit, inside, units
@@ -156,3 +156,37 @@ SELECT nlri, CAST(strftime(min(date), '%Y%m%d') AS INT) AS first_day, CAST(strft
 SELECT date, source, valid FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY valid DESC, source) AS rn FROM n) WHERE rn = 1"""),
     "s_events_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
+
+_YEAR = f"""days AS (SELECT DISTINCT nlri, origin, date FROM bgp_update WHERE nlri IS NOT NULL AND TRY_CAST(origin AS BIGINT) IS NOT NULL AND date IS NOT NULL),
+ends AS (SELECT last_day(m) AS e, CAST(strftime(m, '%Y%m') AS INT) AS month FROM (SELECT unnest(generate_series(date_trunc('month', CAST((SELECT min(date) FROM days) AS TIMESTAMP)), CAST((SELECT max(date) FROM days) AS TIMESTAMP), INTERVAL 1 MONTH)) AS m)),
+back AS (SELECT nlri, origin, month, date_diff('day', date, CAST(e AS DATE)) AS d FROM days JOIN ends ON date_diff('day', date, CAST(e AS DATE)) BETWEEN 0 AND 364)"""
+_WIDE = ", ".join(f'max(CASE WHEN wnd = {w} THEN "{m}" END) AS "{m}_{w}"' for m in METRICS for w in WINDOWS)
+_ALL_STATS = ", ".join(f'round({f}("{m}"), 8) AS "{m}_{n}"' for m in METRICS for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_pop")))
+_LABELS = "labels AS (SELECT DISTINCT idx, CASE validation WHEN 'valid' THEN 1 ELSE 0 END AS label FROM scoreds WHERE validation IN ('valid', 'invalid') AND score0 IS NOT NULL AND score1 IS NOT NULL), sizes AS (SELECT label, count(*) AS n FROM labels GROUP BY 1)"
+
+ORACLE |= {
+    "q15_bgp_feature": with_inputs("offs", body=_RUNS + f" SELECT feat_id, {_WIDE}, {_ALL_STATS} FROM metrics GROUP BY 1"),
+    "w_year_presence": f"WITH {_YEAR} SELECT nlri, origin, month, CAST(count(*) AS INT) AS n_days, CAST(min(d) AS INT) AS newest, CAST(max(d) AS INT) AS oldest FROM back GROUP BY 1, 2, 3",
+    "w_year_metrics": f"WITH {_YEAR}, offs AS (SELECT nlri || ' ' || origin || ' ' || month AS feat_id, d FROM back)" + _RUNS.replace("FROM bgp_feature", "FROM offs") + " SELECT * FROM metrics",
+    "p_bitvector_rows": f"""SELECT CAST(strftime(date, '%Y%m') AS INT) AS month, split_part(nlri, '/', 1) AS prefix_addr, CAST(split_part(nlri, '/', 2) AS INT) AS prefix_len, CAST(origin AS BIGINT) AS origin, {_BITMAP} AS bits
+FROM bgp_update WHERE nlri IS NOT NULL AND TRY_CAST(origin AS BIGINT) IS NOT NULL GROUP BY nlri, origin, CAST(strftime(date, '%Y%m') AS INT)""",
+    "p_ancestors": with_inputs("vrps", body="SELECT DISTINCT uri, len, CAST(k AS INT) AS alen, substr(bits, 1, k) AS bits FROM vrps, range(8, 129) r(k) WHERE k <= len"),
+    "p_irr_keyed": with_inputs("irrs", body=f"SELECT DISTINCT date, unnest([source, '{ALL}']) AS source, net, len, origin FROM irrs"),
+    "f_within_limit": with_inputs("irrs", body="""SELECT date, source, net, len, origin, changed,
+  CASE WHEN date_diff('day', TRY_STRPTIME(CAST(changed AS VARCHAR), '%Y%m%d'), strptime(CAST(date AS VARCHAR), '%Y%m%d')) > 365 THEN 0 ELSE 1 END AS within FROM irrs"""),
+    "f_bit_words": f"""WITH b AS (SELECT nlri, CAST(origin AS BIGINT) AS origin, CAST(strftime(date, '%Y%m') AS INT) AS month, {_BITMAP} AS bits, CAST(day(last_day(min(date))) AS INT) AS n
+  FROM bgp_update WHERE nlri IS NOT NULL AND TRY_CAST(origin AS BIGINT) IS NOT NULL GROUP BY nlri, bgp_update.origin, CAST(strftime(date, '%Y%m') AS INT))
+SELECT nlri, origin, month, concat_ws('|', bits % 256, bits // 256 % 256, bits // 65536 % 256, bits // 16777216) AS words8, CAST(bits AS VARCHAR) AS words32, bits AS again,
+  bits * 8 % CAST(pow(2, n) AS BIGINT) AS later, bits * 8 % CAST(pow(2, n) AS BIGINT) + 7 AS later_filled FROM b""",
+    "j_predictions": with_inputs("scoreds", body=""", p AS (SELECT DISTINCT idx, score0, score1 FROM scoreds WHERE score0 IS NOT NULL AND score1 IS NOT NULL)
+SELECT s.idx, s.date, s.net, s.len, s.origin, round(p.score0, 6) AS score0, round(p.score1, 6) AS score1 FROM scoreds s JOIN p USING (idx)"""),
+    "u_target_dates": f"SELECT {_DAY} AS date FROM irr WHERE date IS NOT NULL UNION SELECT {_DAY} FROM bgp_update WHERE date IS NOT NULL UNION SELECT {_DAY} FROM vrp WHERE date IS NOT NULL",
+    "l_date_batches": f"SELECT a.date, CAST(count(b.date) // 3 AS INT) AS batch FROM (SELECT DISTINCT {_DAY} AS date FROM irr) a LEFT JOIN (SELECT DISTINCT {_DAY} AS date FROM irr) b ON b.date < a.date GROUP BY 1",
+    "i_due_days": f"""SELECT DISTINCT {_DAY} AS date FROM irr WHERE date IN (SELECT date FROM bgp_update) AND date > (SELECT max(date) FROM irr WHERE {_DAY} <= 20230215)
+  AND date <= least((SELECT max(date) FROM irr), (SELECT max(date) FROM bgp_update))""",
+    "i_single_input": f"SELECT DISTINCT {_DAY} AS date FROM irr WHERE date > (SELECT max(date) FROM irr WHERE {_DAY} <= 20230215)",
+    "i_due_months": "SELECT DISTINCT CAST(strftime(date, '%Y%m') AS INT) AS month FROM bgp_update WHERE strftime(date, '%Y%m') < (SELECT strftime(max(date), '%Y%m') FROM bgp_update) AND strftime(date, '%Y%m') <> '202301'",
+    "i_complete_days": "SELECT CAST(strftime(CAST(ts AS DATE), '%Y%m%d') AS INT) AS date FROM bgp_update WHERE ts IS NOT NULL GROUP BY 1 HAVING max(hour(ts)) = 23",
+    "m_split": with_inputs("scoreds", body=", " + _LABELS + " SELECT label, 'train' AS part, CAST(floor(0.8 * n) AS BIGINT) AS n FROM sizes UNION ALL SELECT label, 'test', n - CAST(floor(0.8 * n) AS BIGINT) FROM sizes"),
+    "m_folds": with_inputs("scoreds", body=", " + _LABELS + " SELECT label, CAST(f AS INT) AS fold, n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END AS n FROM sizes, range(0, 5) r(f)"),
+}
