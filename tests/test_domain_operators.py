@@ -1,11 +1,12 @@
+import datetime
 import ipaddress
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from netledger.functions import ip
-from netledger.operators.activity import METRICS, SPAN, WINDOWS, feature_names, month_bitmaps, run_metrics, runs, wide_features
+from netledger.functions import bits, ip
+from netledger.operators.activity import METRICS, SPAN, WINDOWS, feature_names, month_bitmaps, run_metrics, runs, wide_features, year_presence
 from netledger.operators.asof import nearest_snapshot
 from netledger.operators.blocks import cidr_blocks, covered_space
 from netledger.operators.cover import cover_join
@@ -172,3 +173,42 @@ def test_curve_and_area(spark):
     assert abs(auc_pr(c).first()[0] - (0.5 + 0.5 * (1 + 2 / 3) / 2)) < 1e-9
     big = spark.createDataFrame([(-800.0, 800.0), (800.0, -800.0)], "a double, b double").select(softmax1("a", "b")).collect()
     assert [r[0] for r in big] == [1.0, 0.0]
+
+
+def test_year_presence_joins_months(spark):
+    rng = random.Random(11)
+    rows = [(k, f"2023-{m:02}-{d:02}") for k in "ab" for m in range(1, 13) for d in range(1, 29) if rng.random() < (0.2 if k == "a" else 0.02)] + [("a", "2022-01-31"), ("c", "2024-02-29"), ("a", None)]
+    df = spark.createDataFrame(rows, "p string, d string").withColumn("d", F.to_date("d"))
+    got = {(r.p, r.month): r.updays for r in year_presence(month_bitmaps(df, ["p"], "d"), ["p"]).collect()}
+    want = {}
+    for k in "abc":
+        mine = [datetime.date.fromisoformat(d) for p, d in rows if p == k and d]
+        for month in range(12 * 2022, 12 * 2024 + 2):
+            end = datetime.date(month // 12 + (month % 12 == 11), (month + 1) % 12 + 1, 1) - datetime.timedelta(1)
+            back = sorted({(end - x).days for x in mine if 0 <= (end - x).days < SPAN})
+            if back:
+                want[k, end.year * 100 + end.month] = back
+    assert got == want
+    empty = month_bitmaps(df.limit(0), ["p"], "d")
+    assert year_presence(empty, ["p"]).collect() == []
+
+
+def test_bit_vectors(spark):
+    rows = [(0, 30), (1, 28), (5, 31), (2**27 + 2**8 + 3, 28), (2**31 - 1, 31)]
+    df = spark.createDataFrame([(b, n, format(b, f"0{n}b")) for b, n in rows], "b long, n int, t string")
+    got = df.select("b", "n", bits.from_text("t"), bits.words("b", 8, 4), bits.from_words(bits.words("b", 8, 4), 8), bits.shifted("b", 3, F.col("n")), bits.shifted("b", 2, F.col("n"), 1)).collect()
+    for b, n, text, words, again, later, filled in got:
+        assert text == b == again and words == "|".join(str(b >> 8 * i & 255) for i in range(4))
+        assert later == b << 3 & (1 << n) - 1 and filled == (b << 2 & (1 << n) - 1) | 3
+
+
+def test_merging_active_objects_again_changes_nothing(spark):
+    from netledger.plans.composites import AKEY, merge_active
+
+    kinds = "source string, net long, len int, origin long, validation string, "
+    state = spark.createDataFrame([("A", 1, 8, 5, "valid", 20230101), ("A", 1, 8, 5, "invalid", 20230103)], kinds + "latest_date int")
+    day = spark.createDataFrame([("A", 1, 8, 5, "valid", 20230102), ("B", 2, 8, 5, "unknown", 20230102)], kinds + "date int")
+    once = merge_active(state, day)
+    want = {("valid", 20230102), ("invalid", 20230103), ("unknown", 20230102)}
+    assert {(r.validation, r.latest_date) for r in once.collect()} == want == {(r.validation, r.latest_date) for r in merge_active(once, day).collect()}
+    assert merge_active(state.limit(0), day.limit(0)).collect() == [] and len(AKEY) == 5

@@ -163,3 +163,46 @@ def test_due_months(spark):
 
     days = spark.createDataFrame([(20230105,), (20230207,), (20230301,)], "date int")
     assert [r.month for r in due_months(days, spark.createDataFrame([(202301,)], "month int")).collect()] == [202302]
+
+
+def test_encoded_updates_are_decoded():
+    rows = [(1677628800, "10.1.0.0/16", "64500"), (1677628801, "fd00:12::/32", "4200000000"), (1677628802, "0.0.0.0/0", "{7,8}")]
+    assert list(mrt.announcements(b"".join(mrt.encode_update(*r) for r in rows))) == rows
+
+
+def test_rows_as_text(spark):
+    df = spark.createDataFrame([(1, None, [1, None, 2]), (2, "x", None), (3, "", [])], "a int, b string, c array<int>")
+    got = [r[0] for r in df.orderBy("a").select(landing.row_text(["a", "b", "c"], df.schema, ",")).collect()]
+    assert got == ["1,None,[1,None,2]", "2,x,None", "3,,[]"]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    import pytest
+
+    from netledger import session
+
+    class Elsewhere:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "x"
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Elsewhere)
+    Elsewhere.sparkContext.master = "local[4]"
+    assert session.shared_dir(Elsewhere).startswith("file://")
+    assert session.scratch(spark, "x").startswith(session.shared_dir(spark))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from netledger.__main__ import main
+    from tests.conftest import DATA
+
+    assert main(["--list"]) == 0 and "q1_bgp_coverage" in capsys.readouterr().out
+    assert main(["nothing"]) == 2
+    assert main(["q4_ip_coverage", DATA, str(tmp_path / "a"), "--ip-version", "6", "--start", "20230101"], spark) == 0
+    rows = spark.read.option("header", True).csv(str(tmp_path / "a")).collect()
+    assert rows and {r.family for r in rows} == {"6"} and min(r.date for r in rows) > "20230101"
+    assert main(["q3_inconsistent_prefix", DATA, str(tmp_path / "b"), "--format", "parquet", "--end", "20230301"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "b")).agg(F.max("date")).first()[0] <= 20230301
