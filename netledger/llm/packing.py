@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,23 +39,22 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-_loaded: dict[str, object] = {}
+_loaded: dict[tuple[str, str], object] = {}
 
 
-def tokenizer(path: str):
+def tokenizer(path: str, pattern: str):
     """Byte-level BPE from a file of base64 tokens and ranks; kept for the life of a worker."""
-    if path not in _loaded:
-        import public_tokenizers
+    if (path, pattern) not in _loaded:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
-        _loaded[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[path]
+        _loaded[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[path, pattern]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    enc = tokenizer(path)
+def _pieces(batches: Iterator[pa.RecordBatch], name: str, pattern: str, capacity: int) -> Iterator[pa.RecordBatch]:
+    enc = tokenizer(SparkFiles.get(name), pattern)
     for b in batches:
         rows: list[tuple] = []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -75,15 +75,23 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=list(names))
 
 
-def token_pieces(docs: DataFrame, doc_id: str, text: str, *, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, doc_id: str, text: str, *, capacity: int = CAPACITY, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """``(doc_id, piece, n_tokens, byte_from, byte_to)``: each text, or its pieces if it exceeds the capacity.
 
     Pieces are cut after every ``capacity`` tokens; byte offsets are into the UTF-8 text, so pieces
-    concatenate to the text. Null texts have no piece; an empty text has one of no tokens.
+    concatenate to the text. Null texts have no piece; an empty text has one of no tokens. ``vocabulary`` is
+    the path of a tokenizer's file as the driver sees it and ``pattern`` what splits texts before it; the file is sent to
+    the executors, which need not have it.
     """
     path = vocabulary or vocabulary_path()
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
+    docs.sparkSession.sparkContext.addFile(path)
+    name = path.rstrip("/").rpartition("/")[2]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return rows.mapInArrow(lambda it: _pieces(it, path, capacity), _PIECES)
+    return rows.mapInArrow(lambda it: _pieces(it, name, pattern, capacity), _PIECES)
 
 
 def plan_containers(counts: dict[int, int], capacity: int) -> tuple[dict[str, np.ndarray], int]:

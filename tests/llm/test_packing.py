@@ -3,6 +3,8 @@ from collections import Counter
 
 import pytest
 
+import public_tokenizers
+
 from netledger.llm.packing import pack, plan_containers, token_pieces, tokenizer, vocabulary_path
 
 
@@ -62,7 +64,7 @@ def test_pack_on_texts(spark):
     rows = pack(pieces, capacity=capacity).collect()
     made = check(rows, capacity)
     assert made == best_fit([r.n_tokens for r in rows if r.n_tokens], capacity)
-    enc = tokenizer(vocabulary_path())
+    enc = tokenizer(vocabulary_path(), public_tokenizers.PATTERN)
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
