@@ -33,11 +33,30 @@ FLUSH_ROWS = 400_000
 _LISTS = "entity string, slice long, los array<long>, his array<long>"
 
 
+def _merge_order(group: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Order by (group, lo)."""
+    number = int(group.max()) + 1
+    least, most = np.full(number, np.iinfo(np.int64).max), np.full(number, np.iinfo(np.int64).min)
+    np.minimum.at(least, group, lo)
+    np.maximum.at(most, group, lo)
+    held = least <= most
+    width = np.where(held, most.astype(np.float64) - least + 1, 0.0)
+    if width.sum() > 2.0**62:
+        return np.lexsort((lo, group))
+    start = np.r_[0, np.cumsum(np.where(held, most - np.where(held, least, 0) + 1, 0))[:-1]]
+    return np.argsort(start[group] + (lo - least[group]), kind="stable")
+
+
 def merge_sorted(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Disjoint spans per group from spans in any order; presorted runs merge in linear time."""
+    """Disjoint spans per group from spans in any order.
+
+    Where all groups fit into one range of numbers, a group's spans are laid behind the last one's, and
+    numpy's stable sort finds the presorted lists and merges them in a tree, so lists of partial states
+    are merged in linear passes and not sorted anew.
+    """
     if not len(lo):
         return group, lo, hi
-    order = np.lexsort((lo, group))
+    order = _merge_order(group, lo)
     group, lo, hi = group[order], lo[order], hi[order]
     # running maximum of hi that restarts at every group: shift each group into its own value range
     _, dense = np.unique(hi, return_inverse=True)
@@ -125,6 +144,7 @@ def _partial_offsets(batches: Iterator[pa.RecordBatch], low: int, high: int) ->
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reduce side: rows come sorted by (entity, slice); lists of one pair become one list."""
     held: pa.Table | None = None
+    least = 0
 
     def merged(table: pa.Table) -> pa.RecordBatch:
         names, slices, row_group = _groups(table)
@@ -140,9 +160,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = t if held is None else pa.concat_tables([held, t])
         entity, piece = held.column("entity")[-1].as_py(), held.column("slice")[-1].as_py()
         first_entity, first_piece = held.column("entity")[0].as_py(), held.column("slice")[0].as_py()
-        if (entity, piece) == (first_entity, first_piece):
-            held = pa.Table.from_batches([merged(held)])  # still one group: keep its state only
+        if (entity, piece) == (first_entity, first_piece):  # still one group: keep its state only
+            if held.nbytes > 2 * least:  # merged anew only once it has doubled, so a long group costs no more than its rows
+                held = pa.Table.from_batches([merged(held)])
+                least = max(held.nbytes, 1 << 20)
             continue
+        least = 0
         import pyarrow.compute as pc
 
         last = pc.and_(pc.equal(held.column("entity"), entity), pc.equal(held.column("slice"), piece))

@@ -50,3 +50,14 @@ def test_offsets(spark):
     lists = iv.disjoint_offsets(spark.createDataFrame(rows, "id long, days array<int>"), "id", "days", 0, 364)
     assert {tuple(r) for r in iv.gaps(lists).collect()} == {("1", 2, 3), ("1", 6, 9), ("5", 1, 364)}
     assert {tuple(r) for r in iv.periods(lists).collect()} == {("1", 1, 2), ("1", 3, 6), ("1", 9, 10), ("5", 0, 1), ("5", 364, 365)}
+
+
+def test_orders_agree_whatever_the_range():
+    import numpy as np
+
+    from netledger.operators.intervals import _merge_order
+
+    rng = np.random.default_rng(4)
+    for big in (50, 2**61):
+        group, lo = rng.integers(0, 9, 400) * 2, rng.integers(-big, big, 400)
+        assert (_merge_order(group, lo) == np.lexsort((lo, group))).all()
