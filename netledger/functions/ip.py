@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_QUAD = r"^[0-9]{1,3}([.][0-9]{1,3}){3}$"
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -22,7 +25,7 @@ def ipv4_to_long(addr) -> Column:
     """
     c = _c(addr)
     octets = [F.split_part(c, F.lit("."), F.lit(i)).try_cast("long") for i in (1, 2, 3, 4)]
-    value, good = octets[0], c.rlike(r"^[0-9]{1,3}([.][0-9]{1,3}){3}$")
+    value, good = octets[0], c.rlike(_QUAD)
     for o in octets[1:]:
         value = value * 256 + o
     for o in octets:
@@ -103,21 +106,19 @@ def asn_to_long(text) -> Column:
 def with_prefix(df: DataFrame, prefix: str) -> DataFrame:
     """Add ``fam, hi, lo, len`` of an ``addr/len`` column of either family; rows that are no prefix go.
 
-    Host bits are kept; use :func:`mask_bits` to clear them. IPv4 takes no lambdas; staged columns, so
-    that each part is computed once a row.
+    Host bits are kept; use :func:`mask_bits` to clear them. What is no prefix makes an empty list, so no
+    filter is pushed below the parsing to do it a second time; IPv4 takes no lambdas.
     """
-    part = lambda n: f"filter(split(split_part(_addr, '::', {n}), ':'), x -> x <> '')"
+    colons = "(length(_addr) - length(replace(_addr, ':', '')))"
+    groups = f"split(replace(_addr, '::', concat(':', repeat('0:', 8 - {colons}))), ':')"
+    one = r"_addr rlike '^([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*)?(::)?([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*)?$'"
     staged = df.withColumns({"_addr": F.split_part(F.col(prefix), F.lit("/"), F.lit(1)), "len": F.split_part(F.col(prefix), F.lit("/"), F.lit(2)).try_cast("int")})
-    staged = staged.withColumns({"fam": F.expr("CASE WHEN contains(_addr, ':') THEN 6 ELSE 4 END"), "_v4": ipv4_to_long("_addr")})
-    right = f"CASE WHEN contains(_addr, '::') THEN {part(2)} ELSE CAST(array() AS array<string>) END"
-    filled = f"array_repeat('0', greatest(0, 8 - size({part(1)}) - size({right})))"
-    v6 = f"array_join(transform(concat({part(1)}, {filled}, {right}), x -> lpad(x, 4, '0')), '')"
-    staged = staged.withColumn("_hex", F.expr(f"CASE WHEN fam = 6 AND _addr rlike '^[0-9A-Fa-f:]+$' AND len <= 128 THEN {v6} END"))
-    staged = staged.where((F.col("len") >= 0) & ((F.col("_v4").isNotNull() & (F.col("len") <= 32)) | (F.length("_hex") == 32)))
-    half = lambda start: F.expr(f"try_cast(conv(substr(_hex, {start}, 16), 16, -10) AS bigint)")
-    four = F.col("fam") == 4
-    hi = F.when(four, F.call_function("shiftleft", F.col("_v4"), F.lit(32))).otherwise(half(1))
-    return staged.withColumns({"hi": hi, "lo": F.when(four, F.lit(0).cast("long")).otherwise(half(17))}).drop("_addr", "_v4", "_hex")
+    staged = staged.withColumn("_v4", ipv4_to_long("_addr")).withColumn("_g", F.expr(f"CASE WHEN contains(_addr, ':') AND {one} THEN {groups} END"))
+    half = lambda k: F.conv(F.concat(*(F.lpad(F.get("_g", F.lit(i)), 4, "0") for i in range(k, k + 4))), 16, -10).cast("long")
+    bits = lambda fam, hi, lo: F.array(F.struct(F.lit(fam).alias("fam"), hi.alias("hi"), lo.alias("lo")))
+    four = bits(4, F.call_function("shiftleft", F.col("_v4"), F.lit(32)), F.lit(0).cast("long"))
+    found = F.when(F.col("_v4").isNotNull() & F.col("len").between(0, 32), four).when((F.size("_g") == 8) & F.col("len").between(0, 128), bits(6, half(0), half(4)))
+    return staged.select(*[c for c in df.columns if c not in ("fam", "hi", "lo", "len")], "len", F.inline(found))
 
 
 def with_net(df: DataFrame, prefix: str) -> DataFrame:

@@ -12,6 +12,7 @@ from netledger.operators.cover import cover_join
 from netledger.operators.registry import attribute_rir, directed_edges, validate_origin, validated_relations
 from netledger.operators.scoring import auc_pr, kept, pr_curve, softmax1, y_pred, y_true
 from netledger.plans import inputs as inp
+from netledger.session import cut
 
 # fixed values: registries reported one by one
 SOURCES = ("AFRINIC", "APNIC", "ARIN", "LACNIC", "RIPE", "RADB")
@@ -222,9 +223,10 @@ def validated_routes(spark: SparkSession, d: str) -> DataFrame:
     return validate_origin(inp.irr(spark, d).select("date", "source", "net", "len", "origin"), inp.vrp(spark, d), ["date", "source", "net", "len", "origin"])
 
 
-def active_routes(spark: SparkSession, d: str) -> DataFrame:
+def active_routes(spark: SparkSession, d: str, validated: DataFrame | None = None) -> DataFrame:
     """Route objects announced exactly, on the day, by their origin alone; also under all registries."""
-    found = validated_routes(spark, d).join(routed_single(spark, d), ["date", "net", "len", "origin"], "left_semi")
+    validated = validated_routes(spark, d) if validated is None else validated
+    found = validated.join(routed_single(spark, d), ["date", "net", "len", "origin"], "left_semi")
     return found.withColumn("source", F.explode(F.array("source", F.lit(ALL)))).distinct()
 
 
@@ -249,31 +251,32 @@ def merge_active(state: DataFrame, day: DataFrame) -> DataFrame:
     return both.groupBy(*AKEY).agg(F.max("latest_date").alias("latest_date"))
 
 
-def q12_active_merged(spark: SparkSession, d: str) -> DataFrame:
+def q12_active_merged(spark: SparkSession, d: str, validated: DataFrame | None = None) -> DataFrame:
     """Active objects by the last day on which each was active with its validation; 'total' has the unknown ones too."""
-    a = active_routes(spark, d)
+    a = active_routes(spark, d, validated)
     last = merge_active(a.select(*AKEY, F.col("date").alias("latest_date")).limit(0), a)
     rows = last.select("source", _family(), "latest_date", F.explode(F.array(F.col("validation"), F.lit("total"))).alias("validation")).where("validation <> 'unknown'")
     return rows.groupBy("family", "source", "validation", "latest_date").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def registered_totals(spark: SparkSession, d: str) -> DataFrame:
+def registered_totals(spark: SparkSession, d: str, validated: DataFrame) -> DataFrame:
     """``family, source`` and the route objects of the newest snapshot day: all, valid and invalid."""
     newest = inp.irr_days(spark, d).agg(inp.day_int(F.max("date"))).scalar()
-    v = validated_routes(spark, d).where(F.col("date") == newest).withColumn("source", F.explode(F.array("source", F.lit(ALL)))).distinct()
+    v = validated.where(F.col("date") == newest).withColumn("source", F.explode(F.array("source", F.lit(ALL)))).distinct()
     of = lambda x: F.count(F.when(F.col("validation") == x, 1)).alias(f"{x}_total")
     return v.groupBy(_family(), "source").agg(F.count(F.lit(1)).alias("irr_total"), of("valid"), of("invalid"))
 
 
 def q12_active_cdf(spark: SparkSession, d: str) -> DataFrame:
     """Objects last active on a day or later beside those registered on the newest day; null where a source has none then."""
-    m = q12_active_merged(spark, d)
+    validated = cut(validated_routes(spark, d), "validated")  # used twice
+    m = q12_active_merged(spark, d, validated)
     of = lambda v: F.coalesce(F.sum(F.when(F.col("validation") == v, F.col("cnt"))), F.lit(0))
     wide = m.groupBy("family", "source", "latest_date").agg(of("total").alias("irr"), of("valid").alias("valid"), of("invalid").alias("invalid"))
     newest = Window.partitionBy("family", "source").orderBy(F.desc("latest_date")).rowsBetween(Window.unboundedPreceding, 0)
     run = wide.select("family", "source", "latest_date", *[F.sum(c).over(newest).alias(c) for c in ("irr", "valid", "invalid")])
     cols = [x for c in ("irr", "valid", "invalid") for x in (c, f"{c}_total")]
-    return run.join(registered_totals(spark, d), ["family", "source"], "left").select("family", "source", "latest_date", *cols)
+    return run.join(registered_totals(spark, d, validated), ["family", "source"], "left").select("family", "source", "latest_date", *cols)
 
 
 def q13_irr_age_cdf(spark: SparkSession, d: str) -> DataFrame:
