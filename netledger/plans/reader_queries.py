@@ -52,6 +52,8 @@ def landed_dumps(s: SparkSession, d: str) -> str:
     second = F.unix_micros(F.col("ts").cast("timestamp"))
     t = t.select("vp", F.floor(second / 1_000_000).alias("second"), "nlri", "origin").where(F.col("origin").rlike(r"^(\d+|\{\d+(,\d+)*\})$"))
     folder = scratch(s, "mrt")
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
     hour = F.concat(F.date_format(F.timestamp_seconds("second"), "yyyyMMdd"), F.lpad((F.hour(F.timestamp_seconds("second")) / 8).cast("int").cast("string"), 2, "0"))
     written = t.withColumn("hour", hour).groupBy("vp", "hour").applyInArrow(lambda k, rows_of: _write_dump(k, rows_of, folder), "n long")
     written.agg(F.sum("n")).collect()
@@ -146,7 +148,7 @@ def r_written_days(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "days")
     landing.write_days(t, path)
     landing.write_days(t.where(F.col("date") == t.agg(F.max("date")).scalar()).withColumn("source", F.lit("ANEW")), path)
-    return s.read.parquet(path).groupBy("date", "source").agg(F.count(F.lit(1)).alias("n")).select(F.col("date").cast("int").alias("date"), "source", "n")
+    return s.read.schema(t.schema).parquet(path).groupBy("date", "source").agg(F.count(F.lit(1)).alias("n")).select(F.col("date").cast("int").alias("date"), "source", "n")
 
 
 def r_report_file(s: SparkSession, d: str) -> DataFrame:
