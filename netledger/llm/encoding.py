@@ -21,13 +21,13 @@ scripts, whatever the text says.
 The replacement character is a class of its own: what it stands for is lost, so no chain can undo it. Such a
 document is reported with the chain ``LOST``, its text restored as far as other units allow.
 
-The model is fitted in tasks, one a language, on a sample bounded in characters (``SAMPLE_CHARS``).
+The model is fitted on all texts of the table: characters and pairs are counted in the scan, dictionaries are
+trained on shards of ``SHARD_CHARS`` characters and trained again on each other's content until one a language is left.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
 import re
 import unicodedata
 from collections import Counter
@@ -35,21 +35,21 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netledger.session import cut
 
-#: Characters a language gives to the sample, about, and the longest text in it; texts longer than that are
-#: in no sample, though examined like all others.
-SAMPLE_CHARS, SAMPLE_TEXT = 1_000_000, 100_000
+#: Characters of a language from which one task trains a dictionary, about; dictionaries that one task merges; bytes of
+#: their content that count as one text then; counts a task holds before it passes them on.
+SHARD_CHARS, MERGED, PIECE, HELD = 4_000_000, 16, 1024, 500_000
 #: Languages with fewer texts than LEAST, and all but the OWN most frequent, share one dictionary.
 LEAST, OWN, REST = 40, 30, "\0rest"
 DICTIONARY_BYTES = 64 * 1024
-#: Share of a language's sample documents a character must occur in to be at home there.
+#: Share of a language's documents a character must occur in to be at home there.
 AT_HOME, SEEN = 0.01, 0.0008
-#: Share of a language's sample documents a pair of neighbours must occur in to raise no question:
-#: in the first fit, whose sample still holds garbled texts, and in the second.
+#: Share of a language's documents a pair of neighbours must occur in to raise no question:
+#: in the first fit, whose texts still hold garbled ones, and in the second.
 USUAL_FIRST, USUAL_PAIR = 0.025, 0.004
 #: Costs in bytes: of a chain by kind, of one that makes a mixed word whole, of each further layer, and what a
 #: chain must save.
@@ -229,7 +229,7 @@ def mixed(text: str) -> bool:
 
 
 class Model:
-    """What the sample of clean texts teaches: dictionaries, characters seen and characters at home."""
+    """What the clean texts teach: dictionaries, characters seen and characters at home."""
 
     def __init__(self, code: dict[str, bytes], home: dict[str, frozenset[str]], pairs: dict[str, frozenset[str]], dictionaries: dict[str, bytes]):
         self.code, self.home, self.pairs, self.dictionaries = code, home, pairs, dictionaries
@@ -339,11 +339,18 @@ def _habits(lang: str, rows: Rows, known: set[str], usual: float) -> tuple[Count
 
 def _dictionary(lang: str, rows: Rows, known: set[str], model: Model, strict: bool) -> bytes:
     """Dictionary of one language; empty if there is too little text."""
+    return _trained(u for text, _ in rows for u in _teaching(_sound_units(text, known), model, strict))
+
+
+def _teaching(units: Iterable[str], model: Model, strict: bool) -> Iterator[bytes]:
+    """The sound units that a dictionary learns from, in the code of the model."""
+    return (model.encode(u) for u in units if len(u) >= 8 and not (strict and not u.isascii() and model.unusual(u)))
+
+
+def _trained(texts: Iterable[bytes]) -> bytes:
     import zstandard
 
-    coded = []
-    for text, _ in rows:
-        coded += [model.encode(u) for u in _sound_units(text, known) if len(u) >= 8 and not (strict and not u.isascii() and model.unusual(u))]
+    coded = list(texts)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, coded, k=128, d=8).as_bytes()
     except zstandard.ZstdError:
@@ -351,22 +358,26 @@ def _dictionary(lang: str, rows: Rows, known: set[str], model: Model, strict: bo
         return whole if len(whole) >= 8 else b""
 
 
-def fit_in_steps(each: Callable[[Callable], dict], usual: float, strict: bool) -> Model:
-    """The model by three steps over the rows of each language; ``each`` applies a step to all languages.
+def _known(raw: Counter, n: int) -> set[str]:
+    return {ch for ch, k in raw.items() if k >= max(2, SEEN * n)}
 
-    What passes between the steps is bounded by characters and pairs, not by texts.
-    """
+
+def _without_dictionaries(habits: dict[str, tuple[Counter, int, frozenset[str], frozenset[str]]]) -> Model:
+    total, n = Counter(), sum(h[1] for h in habits.values())
+    for c, *_ in habits.values():
+        total.update(c)
+    seen = sorted(_known(total, n), key=lambda ch: (-total[ch], ch))
+    return Model(code_of(seen), {lang: h[2] for lang, h in habits.items()}, {lang: h[3] for lang, h in habits.items()}, {})
+
+
+def fit_in_steps(each: Callable[[Callable], dict], usual: float, strict: bool) -> Model:
+    """The model by three steps over the rows of each language; ``each`` applies a step to all languages."""
     counted = each(_characters)
     raw, n = Counter(), sum(k for _, k in counted.values())
     for c, _ in counted.values():
         raw.update(c)
-    known = {ch for ch, k in raw.items() if k >= max(2, SEEN * n)}
-    habits = each(lambda lang, rows: _habits(lang, rows, known, usual))
-    total = Counter()
-    for c, *_ in habits.values():
-        total.update(c)
-    seen = sorted((ch for ch, k in total.items() if k >= max(2, SEEN * n)), key=lambda ch: (-total[ch], ch))
-    model = Model(code_of(seen), {lang: h[2] for lang, h in habits.items()}, {lang: h[3] for lang, h in habits.items()}, {})
+    known = _known(raw, n)
+    model = _without_dictionaries(each(lambda lang, rows: _habits(lang, rows, known, usual)))
     model.dictionaries = {lang: d for lang, d in each(lambda lang, rows: _dictionary(lang, rows, known, model, strict)).items() if d}
     return model
 
@@ -508,45 +519,121 @@ def restore(text: str, model: Model) -> tuple[str, list[str], bool]:
 
 
 def fit_model(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", source: str = "source") -> Model:
-    """Model from a bounded sample: about ``SAMPLE_CHARS`` characters of each language, whole texts picked by hash of the
-    id, so the sample is the same however the table is laid out. Rows without a language are in no sample; languages
-    beyond the ``OWN`` most frequent and those of fewer than ``LEAST`` texts are one group. A wrong language
+    """Model from all texts of the table. Languages beyond the ``OWN`` most frequent, those of fewer than ``LEAST`` texts
+    and rows without a language are one group, if it has ``LEAST`` texts. A wrong language
     here and there only blurs a dictionary. A column ``source``, if there is one, keeps a single source from
-    making its pairs usual. Texts go to one task a language; the driver sees counts and dictionaries alone."""
-    named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_TEXT))
+    making its pairs usual. Shards go by hash, so the model is the same however the table is laid out. The driver sees counts,
+    usual pairs and dictionaries alone."""
+    named = docs.where(F.col(text).isNotNull())
     sizes = named.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).alias("chars"))
-    own = {r.lang: r.chars for r in sizes.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "lang").limit(OWN).collect()}
-    others = sizes.where(~F.col("lang").isin(list(own))).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).first()
+    own = {r.lang: r.chars for r in sizes.where(F.col("lang").isNotNull() & (F.col("n") >= LEAST)).orderBy(F.desc("n"), "lang").limit(OWN).collect()}
+    others = sizes.where(F.col("lang").isNull() | ~F.col("lang").isin(list(own))).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).first()
     if others.n and others.n >= LEAST:
         own[REST] = others.chars
     if not own:
         return Model({}, {}, {}, {})
-    part = F.pmod(F.xxhash64(doc_id), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    shards = {name: max(1, math.ceil(chars / SHARD_CHARS)) for name, chars in own.items()}
     group = F.when(F.col(lang).isin(list(own)), F.col(lang)).otherwise(REST)
-    share = F.coalesce(*[F.when(group == name, F.lit(min(1.0, SAMPLE_CHARS / max(1, chars)))) for name, chars in own.items()], F.lit(0.0))
     origin = F.col(source).cast("string") if source in docs.columns else F.lit(None).cast("string")
-    picked = named.where(part < share).select(F.col(doc_id).cast("long").alias("doc_id"), group.alias("group"), F.col(text).alias("text"), origin.alias("origin"))
-    # little data and much work: set numbers of tasks, lest they be merged into a handful
-    picked = cut(picked.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id", "text"), "encoding-sample")
+    rows = named.select(F.col(doc_id).cast("long").alias("doc_id"), group.alias("lang"), origin.alias("source"), F.col(text).cast("string").alias("text")).where(F.col("lang").isin(list(own)))
+
+    marks = rows.where(F.col("text").rlike("[^\\x00-\\x7f]")).select("text").mapInArrow(_marked, "item string, k long").groupBy("item").agg(F.sum("k").alias("k"))
+    known = _known({r["item"]: r.k for r in marks.collect()}, rows.count())
+    parted = rows.withColumn("key", F.xxhash64("text")).mapInArrow(lambda it: _soundly(it, known), "doc_id long, lang string, source string, key long, units array<string>")
+    parted = cut(parted, "encoding-units")
+    first = _fitted(parted, shards, USUAL_FIRST, strict=True)
+    bad = garbled_texts(rows, first).select("doc_id").distinct()
+    return _fitted(cut(parted.join(bad, "doc_id", "left_anti"), "encoding-sound"), shards, USUAL_PAIR, strict=False)
+
+
+def _fitted(parted: DataFrame, shards: dict[str, int], usual: float, strict: bool) -> Model:
+    """The model of rows ``doc_id, lang, source, key, units``, as :func:`fit_in_steps` makes it."""
+    counts = parted.select("lang", "source", "units").mapInArrow(_tallied, "lang string, source string, kind string, item string, k long")
+    counts = cut(counts.groupBy("lang", "source", "kind", "item").agg(F.sum("k").alias("k")), "encoding-counts")
+    n = counts.where("kind = 'n'").groupBy("lang").agg(F.sum("k").alias("n"))
+    texts = {r.lang: r.n for r in n.collect()}
+    chars: dict[str, Counter] = {name: Counter() for name in texts}
+    for r in counts.where("kind = 'c'").groupBy("lang", "item").agg(F.sum("k").alias("k")).collect():
+        chars[r.lang][r["item"]] = r.k
+    # a pair must be usual without any one source, if enough texts come from others
+    of_source = counts.where("kind = 'n'").select("lang", F.col("source").alias("from"), F.col("k").alias("own"))
+    pairs = counts.where("kind = 'p'").join(F.broadcast(n), "lang")
+    pairs = pairs.join(of_source.withColumnRenamed("lang", "of"), (F.col("lang") == F.col("of")) & F.col("source").eqNullSafe(F.col("from")))
+    pairs = pairs.withColumns({"all": F.sum("k").over(Window.partitionBy("lang", "item")), "rest": F.col("n") - F.col("own")})
+    alone = (F.col("rest") >= LEAST) & (F.col("all") - F.col("k") < F.greatest(F.lit(2.0), F.lit(usual) * F.col("rest")))
+    often = pairs.where(F.col("all") >= F.greatest(F.lit(2.0), F.lit(usual) * F.col("n"))).groupBy("lang", "item").agg(F.max(alone).alias("alone")).where("not alone")
+    known_pairs: dict[str, set[str]] = {name: set() for name in texts}
+    for r in often.select("lang", "item").collect():
+        known_pairs[r.lang].add(r["item"])
+    order = [name for name in shards if name in texts]
+    at_home = {name: frozenset(ch for ch, k in chars[name].items() if k >= max(2, AT_HOME * texts[name])) for name in order}
+    model = _without_dictionaries({name: (chars[name], texts[name], at_home[name], frozenset(known_pairs[name])) for name in order})
+
+    number = F.coalesce(*[F.when(F.col("lang") == name, F.lit(k)) for name, k in shards.items()])
+    made = parted.withColumn("shard", F.pmod(F.xxhash64("doc_id", "key"), number).cast("int"))
+    most, schema = max(shards.values()), "lang string, shard int, raw binary"
+    made = made.repartition(2 * sum(shards.values()), "lang", "shard").groupBy("lang", "shard").applyInArrow(lambda t: _shard_dictionary(t, model, strict), schema)
+    made = cut(made, "encoding-dictionaries")
+    while most > 1:
+        most = math.ceil(most / MERGED)
+        made = made.withColumn("to", F.floor(F.col("shard") / MERGED).cast("int")).groupBy("lang", "to").applyInArrow(_merged, schema)
+        made = cut(made, "encoding-dictionaries")
+    found = {r.lang: bytes(r.raw) for r in made.collect() if r.raw}
+    model.dictionaries = {name: found[name] for name in order if name in found}
+    return model
 
-    def over(rows: DataFrame) -> Callable[[Callable], dict]:
-        def each(step: Callable) -> dict:
-            done = rows.repartition(4 * len(own), "group").groupBy("group").applyInArrow(lambda t: _stepped(t, step), "group string, result binary")
-            return {r[0]: pickle.loads(r.result) for r in done.collect()}
 
-        return each
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each character beyond ASCII stands; part counts."""
+    count = Counter()
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            count.update({ch for ch in t if ch > "\x7f"})
+    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["item", "k"])
 
-    first = fit_in_steps(over(picked), USUAL_FIRST, strict=True)
-    bad = garbled_texts(picked, first).select("doc_id").distinct()
-    return fit_in_steps(over(cut(picked.join(bad, "doc_id", "left_anti"), "encoding-sound")), USUAL_PAIR, strict=False)
 
+def _soundly(batches: Iterator[pa.RecordBatch], known: set[str]) -> Iterator[pa.RecordBatch]:
+    """The texts as their sound units."""
+    for b in batches:
+        units = pa.array([_sound_units(t, known) for t in b.column("text").to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "lang", "source", "key")), units], names=["doc_id", "lang", "source", "key", "units"])
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Part counts of texts (``n``), of texts with a character (``c``) and with a pair (``p``) in sound units, by language and source."""
+    count = Counter()
 
-def _stepped(t: pa.Table, step: Callable) -> pa.Table:
-    """One step over the texts of one language, in the order of their ids, so that the result is the same every time."""
-    t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    name = t.column("group")[0].as_py()
-    result = step(name, zip(t.column("text").to_pylist(), t.column("origin").to_pylist()))
-    return pa.table({"group": pa.array([name], pa.string()), "result": pa.array([pickle.dumps(result)], pa.binary())})
+    def passed_on() -> pa.RecordBatch:
+        columns = list(zip(*count)) or [[]] * 4
+        texts = [pa.array(c, pa.string()) for c in columns]
+        return pa.RecordBatch.from_arrays([*texts, pa.array(list(count.values()), pa.int64())], names=["lang", "source", "kind", "item", "k"])
+
+    for b in batches:
+        for lang, source, units in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "units"))):
+            high = [u for u in units if not u.isascii()]
+            count[lang, source, "n", ""] += 1
+            count.update((lang, None, "c", ch) for ch in {ch for u in high for ch in u if ch > "\x7f"})
+            count.update((lang, source, "p", p) for p in {p for u in high for p in high_pairs(u)})
+            if len(count) > HELD:
+                yield passed_on()
+                count.clear()
+    yield passed_on()
+
+
+def _shard_dictionary(t: pa.Table, model: Model, strict: bool) -> pa.Table:
+    """Dictionary of a shard, its texts in the order of their ids, so that the result is the same every time."""
+    t = t.sort_by([("doc_id", "ascending"), ("key", "ascending")])
+    raw = _trained(b for units in t.column("units").to_pylist() for b in _teaching(units, model, strict))
+    return pa.table({"lang": t.column("lang")[:1], "shard": t.column("shard")[:1], "raw": pa.array([raw], pa.binary())})
+
+
+def _merged(t: pa.Table) -> pa.Table:
+    """One dictionary trained on the content of others, which ends with the most useful; a lone one stays."""
+    t = t.sort_by("shard")
+    raws = [r for r in t.column("raw").to_pylist() if r]
+    pieces = [r[max(0, i - PIECE) : i] for r in raws for i in range(len(r), 0, -PIECE)]
+    raw = _trained(pieces) if len(raws) > 1 else b"".join(raws)
+    return pa.table({"lang": t.column("lang")[:1], "shard": t.column("to")[:1], "raw": pa.array([raw], pa.binary())})
 
 
 def _restored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
