@@ -542,8 +542,8 @@ def fit_model(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id
     parted = rows.withColumn("key", F.xxhash64("text")).mapInArrow(lambda it: _soundly(it, known), "doc_id long, lang string, source string, key long, units array<string>")
     parted = cut(parted, "encoding-units")
     first = _fitted(parted, shards, USUAL_FIRST, strict=True)
-    bad = garbled_texts(rows, first).select("doc_id").distinct()
-    return _fitted(cut(parted.join(bad, "doc_id", "left_anti"), "encoding-sound"), shards, USUAL_PAIR, strict=False)
+    bad = cut(garbled_texts(rows, first).select("doc_id").distinct(), "encoding-garbled")
+    return _fitted(parted.join(bad, "doc_id", "left_anti"), shards, USUAL_PAIR, strict=False)
 
 
 def _fitted(parted: DataFrame, shards: dict[str, int], usual: float, strict: bool) -> Model:
